@@ -104,7 +104,7 @@ def with_language(df: DataFrame, field: str) -> DataFrame:
     """Adds detected_lang (null: none) and confidence."""
     c = F.coalesce(F.col(field), F.lit(""))
     count = lambda cls: F.char_length(F.regexp_replace(c, f"[^{cls}]", ""))
-    out = df.withColumns({"__letters": count(r"\p{L}"), "__latin": count(r"\p{IsLatin}"), "__w": words(c)})
+    out = df.withColumns({"__letters": count(r"\p{L}"), "__latin": count(r"\p{IsLatin}")}).select("*", F.explode(F.array(words(c))).alias("__w"))
     plain = F.col("__latin") >= F.col("__letters")  # saves six passes over a wholly Latin text
     out = out.withColumns({f"__{k}": F.when(plain, 0).otherwise(count(java)) for k, (java, _) in SCRIPTS.items()})
     kana = F.when(F.col("__jpn") > 0, F.col("__jpn") + F.col("__cmn")).otherwise(0)
@@ -112,8 +112,9 @@ def with_language(df: DataFrame, field: str) -> DataFrame:
     shares = {k: {"jpn": kana, "cmn": han}.get(k, F.col(f"__{k}")) / F.greatest(F.col("__letters"), F.lit(1)) for k in SCRIPTS}
     hits = {k: F.size(F.array_intersect("__w", F.array(*[F.lit(x) for x in v.split()]))) for k, v in FUNCTION_WORDS.items()}
     ranked = F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("r"), F.lit(k).alias("k")) for i, (k, n) in enumerate(hits.items())])
-    out = out.withColumns({"__scripts": F.array(*[F.struct(v.alias("n"), F.lit(k).alias("k")) for k, v in shares.items()]), "__hits": ranked})
-    out = out.withColumns({"__s": F.array_max("__scripts"), "__r": F.sort_array("__hits", asc=False)})
+    out = out.withColumn("__scripts", F.array(*[F.struct(v.alias("n"), F.lit(k).alias("k")) for k, v in shares.items()]))
+    found = F.struct(F.array_max("__scripts").alias("__s"), F.sort_array(ranked, asc=False).alias("__r"))
+    out = out.select("*", F.inline(F.array(found)))
     best, second = F.col("__r")[0]["n"], F.col("__r")[1]["n"]
     script = F.col("__s")["n"] >= 0.5
     return out.withColumns(
@@ -121,7 +122,7 @@ def with_language(df: DataFrame, field: str) -> DataFrame:
             "detected_lang": F.when(script, F.col("__s")["k"]).when(best > 0, F.col("__r")[0]["k"]),
             "confidence": F.when(script, F.round(F.col("__s")["n"], 6)).when(best > 0, F.round((best - second) / best, 6)).otherwise(0.0),
         }
-    ).drop("__letters", "__latin", "__w", "__scripts", "__hits", "__s", "__r", *[f"__{k}" for k in SCRIPTS])
+    ).drop("__letters", "__latin", "__w", "__scripts", "__s", "__r", *[f"__{k}" for k in SCRIPTS])
 
 
 def with_acceptance(df: DataFrame, field: str, cfg: LanguageConfig) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,8 +73,9 @@ def with_metrics(df: DataFrame, field: str, cfg: QualityConfig | None = None) ->
     """Adds the metrics' columns. A null text counts as empty."""
     cfg = cfg or QualityConfig()
     text = F.coalesce(F.col(field), F.lit(""))
-    out = df.withColumn("__t", text).withColumn("__w", words(F.col("__t")))
-    out = out.withColumns(metrics(F.col("__t"), F.col("__w")))
+    # a generator keeps the optimizer from copying the tokenizer into every use of the words
+    out = df.withColumn("__t", text).select("*", F.explode(F.array(words(F.col("__t")))).alias("__w"))
+    out = out.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in metrics(F.col("__t"), F.col("__w")).items()]))))
     bad = F.arrays_overlap(F.col("__w"), F.array(*[F.lit(x) for x in cfg.profanity])) if cfg.filter_profanity and cfg.profanity else F.lit(False)
     return out.withColumn("has_profanity", F.coalesce(bad, F.lit(False))).drop("__t", "__w")
 
@@ -110,7 +113,7 @@ def with_verdict(measured: DataFrame, cfg: QualityConfig | None = None) -> DataF
     some = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
     out = measured.withColumn("reasons", some([F.when(bad, text) for _, bad, text in checks]))
     out = out.withColumn("reason_codes", some([F.when(bad, F.lit(code)) for code, bad, _ in checks]))
-    return out.withColumn("passes", F.size("reasons") == 0)
+    return out.withColumn("passes", ~reduce(or_, [bad for _, bad, _ in checks]))
 
 
 def summary(c: Column) -> Column:

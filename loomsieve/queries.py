@@ -56,14 +56,13 @@ def fold_sql(parts: str) -> str:
 
 def shingles_sql(n: int, by_word: bool, source: str = "documents", id_col: str = "doc_id") -> str:
     """Tables: norm(id, t), shingle(id, h): distinct folds of the balanced text's n-grams."""
-    if by_word:
-        cut_ = "string_split(t, ' ')"
-        made = f"select id, case when len(w) < {n} then [t] else list_transform(range(len(w) - {n - 1}), lambda i: array_to_string(w[i + 1:i + {n}], ' ')) end s from (select id, t, {cut_} w from norm)"
-    else:
-        made = f"select id, case when len(w) < {n} then [t] else list_transform(range(len(w) - {n - 1}), lambda i: array_to_string(w[i + 1:i + {n}], '')) end s from (select id, t, string_split(t, '') w from norm)"
+    sep = " " if by_word else ""
+    gram = f" || '{sep}' || ".join(["c", *[f"lead(c, {k}) over o" for k in range(1, n)]])
+    made = f"""select id, s from (select id, p, n, {gram} s from (select id, unnest(w) c, generate_subscripts(w, 1) p, len(w) n from (select id, string_split(t, '{sep}') w from norm)) window o as (partition by id order by p)) where p <= n - {n - 1}
+      union all select id, t from norm where len(string_split(t, '{sep}')) < {n}"""
     points = "list_transform(string_split(s, ''), lambda x: unicode(x)::bigint)"
     return f"""norm as materialized (select {id_col} id, {BALANCED} t from {source} where {BALANCED} <> ''),
-    grams as (select distinct id, unnest(s) s from ({made})),
+    grams as materialized (select distinct id, s from ({made})),
     folds as materialized (select s, {fold_sql(points)} h from (select distinct s from grams)),
     shingle as materialized (select distinct id, h from grams join folds using (s))"""
 
@@ -307,20 +306,22 @@ def blocked_edit_matches(spark: SparkSession, d: str) -> DataFrame:
 
 URL_RE2 = r"(?i)\b(?:https?://|www\.)[^\s<>]+\b|\b\w+\.(com|org|net|edu|gov)\b"
 METRICS_SQL = rf"""w as materialized (select doc_id, coalesce(text, '') text, {WORDS} w from (select doc_id, coalesce(text, '') text from documents)),
+    tok as materialized (select doc_id, x, lead(x, 1) over o x1, lead(x, 2) over o x2, lead(x, 3) over o x3 from (select doc_id, unnest(w) x, generate_subscripts(w, 1) p from w) window o as (partition by doc_id order by p)),
+    g as materialized (select doc_id, count(distinct x || ' ' || x1 || ' ' || x2) + count(distinct x || ' ' || x1 || ' ' || x2 || ' ' || x3) n from tok group by 1),
     m as materialized (select doc_id, text, strlen(text) length, len(w) word_count,
       case when len(w) > 0 then len(list_distinct(w)) / len(w)::double else 0.0 end unique_word_ratio,
-      case when len(w) < 5 then 0.0 else 1 - (len(list_distinct(list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' ')))) + len(list_distinct(list_transform(range(len(w) - 3), lambda i: array_to_string(w[i + 1:i + 4], ' '))))) / (2 * len(w) - 5)::double end repetition_ratio,
+      case when len(w) < 5 then 0.0 else 1 - g.n / (2 * len(w) - 5)::double end repetition_ratio,
       case when text = '' then 0.0 else coalesce(list_sum(list_transform(regexp_extract_all(text, '{URL_RE2}'), lambda x: strlen(x))), 0) / strlen(text)::double end url_ratio,
       case when text = '' then 0.0 else length(regexp_replace(text, '[\p{{L}}\p{{M}}\p{{N}}\s]', '', 'g')) / strlen(text)::double end special_char_ratio,
       case when len(w) > 0 then list_sum(list_transform(w, lambda x: strlen(x))) / len(w)::double else 0.0 end avg_word_length,
       regexp_matches(text, '<[^>]+>') or contains(text, '<!DOCTYPE') or contains(text, '<html') or contains(text, '</html>') has_html,
-      list_has_any(w, ['damn', 'shit', 'fuck', 'bastard', 'bitch', 'crap']) swears from w)"""
+      list_has_any(w, ['damn', 'shit', 'fuck', 'bastard', 'bitch', 'crap']) swears from w left join g using (doc_id))"""
 
 
 def reasons_sql(c: quality.QualityConfig) -> str:
     def check(metric: str, label: str, limit: float, low: bool) -> str:
         sign, name = ("<", "min") if low else (">", "max")
-        shown, bound = (f"printf('%.2f', {metric})", f"{limit:.2f}") if isinstance(limit, float) else (f"{metric}::varchar", str(limit))
+        shown, bound = (f"printf('%.2f', {metric} + 1e-12)", f"{limit:.2f}") if isinstance(limit, float) else (f"{metric}::varchar", str(limit))
         return f"case when {metric} {sign} {limit} then '{label} ' || {shown} || ' {sign} {name} {bound}' end"
 
     checks = [
