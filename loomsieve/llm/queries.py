@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomsieve.llm import jaccard
+from loomsieve.llm import jaccard, quality_rules, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of these is expressible in SQL as a whole; tests hold them against brute force.
@@ -25,3 +25,19 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query
 def op2_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, d, "labels")))
+
+
+@query
+def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shard(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.archive(table(spark, d, "pages"))
