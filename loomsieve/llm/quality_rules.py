@@ -4,8 +4,8 @@ Each text is reduced to a few counts in one pass. Texts that fail the base rules
 For the others, trees of random splits over the statistics give a mean path length;
 short paths mark anomalies. The forest is fitted on a bounded sample of labelled rows
 (``sample``; taken in the order of a hash of doc_id), and the threshold is the one at
-which at most ``max_loss`` of the good labelled rows of a held-out part are lost while
-most bad ones go. All rows are scored.
+which most bad labelled rows of a held-out part go while at most ``max_loss`` of the good
+ones are lost. All rows are scored.
 
 Null and empty texts have zero counts and fail the base rules (too few words). Without
 labels of both kinds there is no threshold and the base rules decide alone. Repeated
@@ -45,7 +45,8 @@ class RuleConfig:
     trees: int = 120
     leaf_sample: int = 256
     sample: int = 6000
-    max_loss: float = 0.004
+    bad_share: float = 0.06
+    max_loss: float = 0.012
     seed: int = 7
 
 
@@ -174,8 +175,20 @@ class Forest:
 
 @dataclass
 class Rules:
-    forest: Forest | None
-    threshold: float
+    """``low``, ``high`` and ``scale`` turn statistics into how far they leave the usual range of
+    good rows; the forest splits those."""
+
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+    scale: np.ndarray | None = None
+    forest: Forest | None = None
+    threshold: float = float("inf")
+
+    def excess(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.log1p(np.maximum(x - self.high, 0) / self.scale), np.log1p(np.maximum(self.low - x, 0) / self.scale)], axis=1)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.forest.score(self.excess(x)) if self.forest and len(x) else np.zeros(len(x))
 
 
 def measured(docs: DataFrame, extra: str | None = None) -> DataFrame:
@@ -199,19 +212,28 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: RuleConfig = RuleConfig()) -> R
     got = got[(got.n_words >= cfg.min_words) & (100 * got.n_repeat_words <= cfg.max_repeat_percent * got.n_words)].sort_values("doc_id")
     good = got.quality.to_numpy() == 1
     if good.sum() < 20 or (~good).sum() < 5:
-        return Rules(None, float("inf"))
+        return Rules()
     x = np.array(got.features.tolist())
     half = scan.mix(got.doc_id.to_numpy().astype(np.uint64)) % np.uint64(2) == 0
-    rng = np.random.default_rng(cfg.seed)
-    bad_rows = np.flatnonzero(~good & half)
-    rows = np.concatenate([np.flatnonzero(good & half), bad_rows[: max(2, int(0.06 * (good & half).sum()))]])
-    forest = Forest(x[rows], cfg.trees, cfg.leaf_sample, rng)
-    s = forest.score(x)
-    held = np.sort(s[good & ~half])
-    if not len(held):
-        return Rules(None, float("inf"))
-    threshold = float(held[min(len(held) - 1, int(np.ceil((1 - cfg.max_loss) * len(held))) - 1)])
-    return Rules(forest, threshold + 1e-9)
+    fitted, held = good & half, np.flatnonzero(~half)
+    if fitted.sum() < 10 or not good[held].any():
+        return Rules()
+    low, high = np.quantile(x[fitted], [0.002, 0.998], axis=0)
+    spread = np.quantile(x[fitted], 0.9, axis=0) - np.quantile(x[fitted], 0.1, axis=0)
+    rules = Rules(low, high, np.maximum(spread, 0.01))
+    few = np.flatnonzero(~good & half)[: max(2, int(cfg.bad_share * fitted.sum()))]
+    rules.forest = Forest(rules.excess(x[np.concatenate([np.flatnonzero(fitted), few])]), cfg.trees, cfg.leaf_sample, np.random.default_rng(cfg.seed))
+    s, is_good = rules.score(x[held]), good[held]
+    best = None
+    for t in np.unique(s[is_good])[::-1]:
+        lost, missed = np.mean(s[is_good] > t), np.mean(s[~is_good] <= t) if (~is_good).any() else 0.0
+        if lost > cfg.max_loss:
+            break
+        cost = 10 * lost + missed
+        if best is None or cost < best[0]:
+            best = (cost, float(t))
+    rules.threshold = best[1] + 1e-9
+    return rules
 
 
 def judge(docs: DataFrame, rules: Rules, cfg: RuleConfig = RuleConfig()) -> DataFrame:
@@ -222,7 +244,7 @@ def judge(docs: DataFrame, rules: Rules, cfg: RuleConfig = RuleConfig()) -> Data
         r = shared.value
         for c in scan.chunks(batches):
             counts, x = statistics(scan.column(c, "text"))
-            s = r.forest.score(x) if r.forest else np.zeros(len(x))
+            s = r.score(x)
             failed = (counts["n_words"] < cfg.min_words) | (100 * counts["n_repeat_words"] > cfg.max_repeat_percent * counts["n_words"])
             yield pa.RecordBatch.from_arrays(
                 [scan.column(c, "doc_id"), *[pa.array(counts[k].astype(np.int64)) for k in COUNTS], pa.array(failed), pa.array(s), pa.array(~failed & (s <= r.threshold))],
@@ -242,7 +264,7 @@ def keep(docs: DataFrame, rules: Rules, cfg: RuleConfig = RuleConfig()) -> DataF
         for c in scan.chunks(batches):
             counts, x = statistics(scan.column(c, "text"))
             failed = (counts["n_words"] < cfg.min_words) | (100 * counts["n_repeat_words"] > cfg.max_repeat_percent * counts["n_words"])
-            ok = ~failed & (r.forest.score(x) <= r.threshold if r.forest else True)
+            ok = ~failed & (r.score(x) <= r.threshold)
             yield c.filter(pa.array(ok))
 
     return docs.mapInArrow(run, docs.schema)

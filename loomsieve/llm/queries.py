@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomsieve.llm import jaccard, quality_rules, sharding, warc
+from loomsieve.llm import decontam, jaccard, license, quality_rules, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of these is expressible in SQL as a whole; tests hold them against brute force.
@@ -41,3 +41,13 @@ def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.archive(table(spark, d, "pages"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return license.scan_documents(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.matches(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
