@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomsieve.llm import decontam, jaccard, license, quality_rules, sharding, warc
+from loomsieve.llm import decontam, jaccard, license, passages, quality_rules, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of these is expressible in SQL as a whole; tests hold them against brute force.
@@ -51,3 +51,8 @@ def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.matches(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return passages.passages(table(spark, d, "documents").select("doc_id", "text"))
