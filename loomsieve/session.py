@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,10 @@ def local_session(cores: int | str = "*", name: str = "loomsieve", **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     return builder.config(map=defaults | conf).getOrCreate()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut``, as a Parquet table: later plans read only the columns they use."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
