@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomsieve.llm import decontam, jaccard, license, passages, quality_rules, sharding, warc
+from loomsieve.llm import decontam, jaccard, license, packing, passages, quality_rules, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of these is expressible in SQL as a whole; tests hold them against brute force.
@@ -56,3 +56,14 @@ def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op7_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return passages.passages(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op4_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents").select("doc_id", "text"), packing.PackConfig(tokenizer_path()))
