@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomsieve.llm import decontam, jaccard, license, packing, passages, quality_rules, sharding, warc
+from loomsieve.llm import chat, classifier, decontam, jaccard, license, packing, passages, quality_rules, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of these is expressible in SQL as a whole; tests hold them against brute force.
@@ -67,3 +67,17 @@ def tokenizer_path() -> str:
 @query
 def op4_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents").select("doc_id", "text"), packing.PackConfig(tokenizer_path()))
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled turns become raw transcripts (some without markers). The model is fitted on the
+    conversations of one half; all are parsed."""
+    raw = chat.with_markers(table(spark, d, "conversations"))
+    return chat.parse(raw, chat.fit(raw.where("pmod(xxhash64(conv_id, 7), 2) = 0")))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return classifier.score(docs, classifier.fit(docs, table(spark, d, "labels")))
