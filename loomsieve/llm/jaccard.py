@@ -7,9 +7,10 @@ shingles is at least ``percent`` / 100. The join is exact:
    a shingle, summed by key range). Those in at least ``hot`` documents are ranked by
    count and broadcast; ``hot`` doubles until they fit ``MAX_HOT`` keys.
 2. The first order puts cold shingles first (by hash), then hot ones from rare to
-   common. Sets that can link share a token of their prefixes, so prefix tokens are
-   the join key. Equal sets travel as one class, so copies never meet each other.
-   Size and position bounds prune pairs in the reducer.
+   common. Prefix tokens are the join key. Prefixes are extended so that sets that can
+   link share a tenth of their tokens there, not just one; pairs with fewer shared
+   tokens go. Equal sets travel as one class, so copies never meet each other. Size
+   and position bounds prune pairs in the reducer.
 3. Candidate sets are fetched once a class and routed by pairs of blocks (documents
    with one MinHash value, split so that a block stays small). There, pairs must
    also share prefix tokens under further orders; the rest is verified in full.
@@ -68,8 +69,14 @@ def class_of(s: np.ndarray) -> int:
     return int(np.array([scan.mix_int(a)], dtype=np.uint64).view(np.int64)[0])
 
 
+def least_shared(n):
+    """How many tokens the extended prefixes of two sets, the smaller of n tokens, must share."""
+    return 1 + n // 10
+
+
 def prefix_length(n, percent: int):
-    return n - (percent * n + 99) // 100 + 1
+    """Sets of n tokens that can link share ``least_shared`` tokens within such prefixes."""
+    return n - (percent * n + 99) // 100 + least_shared(n)
 
 
 def order_keys(s: np.ndarray, order: int, hot_keys: np.ndarray, hot_rank: np.ndarray) -> np.ndarray:
@@ -218,7 +225,7 @@ def candidates(docs: DataFrame, cfg: JaccardConfig, hot, parts: int) -> DataFram
         key = (tok.astype(np.int64) << 31) + n
         most = np.searchsorted(key, (tok.astype(np.int64) << 31) + n * 100 // pct, "right")
         count = most - np.arange(len(tok)) - 1
-        found: list[np.ndarray] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         left = np.flatnonzero(count > 0)
         ends = np.cumsum(count[left])
         at = 0
@@ -229,15 +236,20 @@ def candidates(docs: DataFrame, cfg: JaccardConfig, hot, parts: int) -> DataFram
             j = scan.ranges(some + 1, count[some])
             best = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
             ok = (100 + pct) * best >= pct * (n[i] + n[j])
-            a, b = cls[i[ok]], cls[j[ok]]
-            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64))
+            i, j = i[ok], j[ok]
+            differ = cls[i] != cls[j]
+            a, b, need = cls[i[differ]], cls[j[differ]], least_shared(n[i[differ]])
+            rows, first, times = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0, return_index=True, return_counts=True)
+            found.append((rows, need[first], times))
             at = to
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        both = both[both[:, 0] != both[:, 1]]
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+        rows = np.concatenate([f[0] for f in found]) if found else np.zeros((0, 2), np.int64)
+        need, times = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (1, 2))
+        return pa.table({"a": rows[:, 0], "b": rows[:, 1], "need": need, "times": times})
 
     blobs = docs.select("text").mapInArrow(emit, "bucket int, rows binary")
-    return blobs.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct()
+    met = blobs.groupBy("bucket").applyInArrow(pair, "a long, b long, need long, times long")
+    shared = met.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("times").alias("times"))
+    return shared.where("times >= need").select("a", "b")
 
 
 def candidate_sets(docs: DataFrame, cfg: JaccardConfig, wanted) -> DataFrame:
@@ -315,7 +327,8 @@ def verify_group(ids: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, a:
             i, js = a[part], b[part : min(part + BLOCK, hi)]
             for p in pre:
                 if len(js):
-                    js = js[shared(p[i], [p[j] for j in js]) > 0]
+                    need = np.array([least_shared(min(len(sets[i]), len(sets[j]))) for j in js])
+                    js = js[shared(p[i], [p[j] for j in js]) >= need]
             if len(js):
                 both = shared(sets[i], [sets[j] for j in js])
                 sizes = np.array([len(sets[j]) for j in js])
