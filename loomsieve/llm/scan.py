@@ -17,7 +17,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are processed at once; one longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240501)
 TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
