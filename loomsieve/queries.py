@@ -36,6 +36,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt out to all cores before heavy work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- SQL pieces ---------------------------------------------------------------
 
 WORD = r"[^\p{L}\p{M}\p{N}]"
@@ -103,7 +109,7 @@ WORD2_SQL = f"{shingles_sql(2, True)}, {signature_sql(128)}, {edges_sql(16, 8, 0
 
 def resolved(spark: SparkSession, d: str) -> tuple[DataFrame, fuzzy.Resolution]:
     docs = table(spark, d, "documents")
-    return docs, fuzzy.resolve(docs, WORD2, "doc_id")
+    return docs, fuzzy.resolve(spread(docs.select("doc_id", "text")), WORD2, "doc_id")
 
 
 # --- exact ----------------------------------------------------------------------
@@ -341,12 +347,12 @@ RATIOS = ("unique_word_ratio", "repetition_ratio", "url_ratio", "special_char_ra
 
 @query(f"with {METRICS_SQL} select doc_id, length, word_count, {', '.join(f'round({r}, 6) {r}' for r in RATIOS)}, has_html from m")
 def quality_metrics(spark: SparkSession, d: str) -> DataFrame:
-    m = quality.with_metrics(table(spark, d, "documents").select("doc_id", "text"), "text")
+    m = quality.with_metrics(spread(table(spark, d, "documents").select("doc_id", "text")), "text")
     return m.select("doc_id", F.col("length").cast("long").alias("length"), F.col("word_count").cast("long").alias("word_count"), *[F.round(r, 6).alias(r) for r in RATIOS], "has_html")
 
 
 def scored(spark: SparkSession, d: str, cfg: quality.QualityConfig) -> DataFrame:
-    return quality.score(table(spark, d, "documents").select("doc_id", "text"), "text", cfg)
+    return quality.score(spread(table(spark, d, "documents").select("doc_id", "text")), "text", cfg)
 
 
 @query(reasons_sql(quality.QualityConfig.default()) + "select doc_id, case when len(reasons) = 0 then 'Passed all quality checks' else array_to_string(reasons, '; ') end reasons from r")
@@ -413,12 +419,12 @@ def code_heuristic(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {DETECT_SQL} select doc_id, detected_lang, confidence from lang")
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
-    return language.with_language(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "detected_lang", "confidence")
+    return language.with_language(spread(table(spark, d, "documents").select("doc_id", "text")), "text").select("doc_id", "detected_lang", "confidence")
 
 
 @query(f"with {accept_sql(ENGLISH)} select doc_id from ok where accepted")
 def language_accept(spark: SparkSession, d: str) -> DataFrame:
-    return language.with_acceptance(table(spark, d, "documents").select("doc_id", "text"), "text", ENGLISH).where("accepted").select("doc_id")
+    return language.with_acceptance(spread(table(spark, d, "documents").select("doc_id", "text")), "text", ENGLISH).where("accepted").select("doc_id")
 
 
 _SEEN = "not short and not is_code and detected_lang is not null"
@@ -428,12 +434,12 @@ _SEEN = "not short and not is_code and detected_lang is not null"
     count_if({_SEEN} and not accepted) rejected, count_if(not short and not is_code and detected_lang is null) detection_failed from ok)
     select *, round(accepted / total, 6) acceptance_rate, round(rejected / total, 6) rejection_rate from t""")
 def language_stats(spark: SparkSession, d: str) -> DataFrame:
-    return language.stats(language.with_acceptance(table(spark, d, "documents").select("doc_id", "text"), "text", ENGLISH))
+    return language.stats(language.with_acceptance(spread(table(spark, d, "documents").select("doc_id", "text")), "text", ENGLISH))
 
 
 @query(f"with {accept_sql(ENGLISH)} select detected_lang, count(*) n from ok where {_SEEN} group by 1")
 def language_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return language.distribution(language.with_acceptance(table(spark, d, "documents").select("doc_id", "text"), "text", ENGLISH))
+    return language.distribution(language.with_acceptance(spread(table(spark, d, "documents").select("doc_id", "text")), "text", ENGLISH))
 
 
 # --- plans ----------------------------------------------------------------------------
@@ -443,12 +449,12 @@ _FILTER_SQL = reasons_sql(quality.QualityConfig.default()) + f", {accept_sql(ENG
 
 @query(_FILTER_SQL + "select r.doc_id from r join ok using (doc_id) where accepted and len(reasons) = 0")
 def filter_command(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.filter_records(table(spark, d, "documents").select("doc_id", "text"), Filters()).select("doc_id")
+    return pipeline.filter_records(spread(table(spark, d, "documents").select("doc_id", "text")), Filters()).select("doc_id")
 
 
 @query(_FILTER_SQL + ", t as (select count(*) total_records, count_if(accepted and len(reasons) = 0) passed from r join ok using (doc_id)) select *, total_records - passed filtered, round((total_records - passed) * 100.0 / total_records, 6) filter_rate, false dry_run from t")
 def filter_report(spark: SparkSession, d: str) -> DataFrame:
-    return report.filter_report(pipeline.judge(table(spark, d, "documents").select("doc_id", "text"), Filters()), pipeline.passing())
+    return report.filter_report(pipeline.judge(spread(table(spark, d, "documents").select("doc_id", "text")), Filters()), pipeline.passing())
 
 
 @query()
