@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into n-word grams. One pass counts the documents that hold each
-gram; every item keeps as seeds its rarer half (and all grams that are no commoner
-than four times its median), so a leak into a third of the corpus can't unseed an
-item. A second pass finds seeds in the documents, gathers hits of one item that lie
-within a window, and aligns that window with the item by words. The score is the share of the
-item's words that the best local alignment matches.
+Test items are cut into n-word grams and every gram is a seed, however many documents
+hold it: neither a leak into a third of the corpus nor many edited copies can unseed an
+item. One pass finds seeds in the documents, gathers hits of one item that lie within a
+window, and aligns that window with the item by words, unless too few of the item's
+words occur in it for any alignment to reach the threshold. The score is the share of
+the item's words that the best local alignment matches.
 
 Items are joined in blocks of at most ``block`` grams, so what is broadcast has a
 fixed size; every document meets every block. Text is never shuffled. Null and empty texts match nothing; items of
@@ -66,16 +66,6 @@ class Items:
         self.from_ = np.searchsorted(self.gram, np.append(self.keys, np.uint64(0)))
         self.from_[-1] = len(self.gram)
 
-    def keep_rare(self, df: np.ndarray) -> None:
-        """df: documents by key."""
-        n = df[np.searchsorted(self.keys, self.gram)]
-        keep = np.zeros(len(n), dtype=bool)
-        for i in np.unique(self.item):
-            own = self.item == i
-            keep |= own & (n <= 4 * max(1.0, np.median(n[own])))
-        self.gram, self.item, self.place, self.width = self.gram[keep], self.item[keep], self.place[keep], self.width[keep]
-        self.index()
-
     def hits(self, w: scan.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word index, key index) of grams in the chunk that are keys."""
         at_all, key_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -113,14 +103,29 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return matched, int(j), end
 
 
-def match_chunk(items: Items, w: scan.Words, h: np.ndarray) -> list[tuple[int, int, float, int, int, int]]:
-    """(text, item, score, first word, last word + 1, seeds) of verified passages."""
-    cfg = items.cfg
+def match_chunk(items: Items, w: scan.Words, h: np.ndarray, most: int = 2_000_000) -> list[tuple[int, int, float, int, int, int]]:
+    """(text, item, score, first word, last word + 1, seeds) of verified passages. Texts are taken
+    in slices of about ``most`` seed hits, as a common gram may stand in many items."""
     at, key = items.hits(w, h)
+    if not len(at):
+        return []
+    by = np.argsort(at, kind="stable")
+    at, key = at[by], key[by]
+    text = np.searchsorted(w.first, at, "right") - 1
+    size = np.cumsum(items.from_[key + 1] - items.from_[key])
+    new = np.flatnonzero(text[1:] != text[:-1]) + 1
+    cuts, taken = [0], 0
+    for i, n in zip(np.append(new, len(at)).tolist(), size[np.append(new, len(at)) - 1].tolist()):
+        if n - taken >= most or i == len(at):
+            cuts.append(i)
+            taken = n
+    return [r for lo, hi in zip(cuts, cuts[1:]) for r in match_hits(items, w, h, at[lo:hi], key[lo:hi])]
+
+
+def match_hits(items: Items, w: scan.Words, h: np.ndarray, at: np.ndarray, key: np.ndarray) -> list[tuple[int, int, float, int, int, int]]:
+    cfg = items.cfg
     count = items.from_[key + 1] - items.from_[key]
     posting = scan.ranges(items.from_[key], count)
-    if not len(posting):
-        return []
     at = np.repeat(at, count)
     item, place = items.item[posting], items.place[posting]
     text = np.searchsorted(w.first, at, "right") - 1
@@ -129,14 +134,18 @@ def match_chunk(items: Items, w: scan.Words, h: np.ndarray) -> list[tuple[int, i
     start = at - place
     size = np.array([len(x) for x in items.words])
     near = (size[item] * (cfg.stretch - 1)).astype(np.int64) + 2
-    cuts = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > near[1:])]))
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > near[1:])])
+    cuts = np.flatnonzero(new)
+    wide = int(size.max()) + 1
+    seeds_of = np.bincount(np.unique((np.cumsum(new) - 1) * wide + place) // wide, minlength=len(cuts))
+    need = np.minimum(cfg.least_seeds, np.maximum(1, size[item[cuts]] - cfg.n + 1))
     best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(at))):
+    ends = np.append(cuts[1:], len(at))
+    for c in np.flatnonzero(seeds_of >= need).tolist():
+        lo, hi = int(cuts[c]), int(ends[c])
         k, d = int(item[lo]), int(text[lo])
         words = items.words[k]
-        seeds = len(np.unique(place[lo:hi]))
-        if seeds < min(cfg.least_seeds, max(1, len(words) - cfg.n + 1)):
-            continue
+        seeds = int(seeds_of[c])
         if best.get((d, k), (0.0,))[0] == 1.0:
             continue
         pad = int(near[lo])
@@ -146,6 +155,9 @@ def match_chunk(items: Items, w: scan.Words, h: np.ndarray) -> list[tuple[int, i
         step = max(4 * len(words), 512)
         for a in range(low, max(low + 1, high), step):
             b = min(high, a + step + 2 * len(words))
+            # no alignment matches more of the item's words than occur in the window
+            if np.isin(words, h[a:b]).sum() < cfg.threshold * len(words):
+                continue
             matched, x, y = smith_waterman(words, h[a:b])
             got = (matched / len(words), a + x - int(w.first[d]), a + y - int(w.first[d]), seeds)
             if got[0] >= cfg.threshold and got[0] > best.get((d, k), (0.0,))[0]:
@@ -170,32 +182,12 @@ def item_blocks(benchmark: DataFrame, cfg: DecontamConfig):
         yield Items(ids, texts, cfg)
 
 
-def gram_frequency(docs: DataFrame, items: Items) -> np.ndarray:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches):
-        it = shared.value
-        n = np.zeros(len(it.keys), dtype=np.int64)
-        for c in scan.chunks(batches):
-            w = scan.Words(scan.column(c, "text"), scan.ALNUM)
-            at, key = it.hits(w, w.hashes(fold_case=True))
-            text = np.searchsorted(w.first, at, "right") - 1
-            n += np.bincount(np.unique(text * len(n) + key) % len(n), minlength=len(n))
-        yield pa.RecordBatch.from_pydict({"key": np.flatnonzero(n), "n": n[n > 0]})
-
-    df = np.zeros(len(items.keys), dtype=np.int64)
-    for r in docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
-        df[r.key] = r.n
-    return df
-
-
 SCHEMA = "doc_id long, item_id long, score double, first_word long, end_word long, n_seeds long"
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig):
     for items in item_blocks(benchmark, cfg):
         if len(items.keys):
-            items.keep_rare(gram_frequency(docs, items))
             yield docs.sparkSession.sparkContext.broadcast(items)
 
 

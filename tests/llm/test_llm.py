@@ -249,6 +249,21 @@ def test_decontamination(spark):
     assert decontam.matches(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
+@pytest.mark.parametrize("copies, edited", [(0, 100), (3, 100)])
+def test_decontamination_of_a_frequent_edited_leak(spark, copies, edited):
+    """Every fourth word replaced (score 0.75), in a third of the rows, with and without exact copies."""
+    rng = random.Random(16)
+    item = prose(rng, 40)
+    leak = item.split()
+    leak[3::4] = [f"changed{k}" for k in range(10)]
+    leaks = [item] * copies + [" ".join(leak)] * edited
+    data = [(i, f"{prose(rng, 30)} {t} {prose(rng, 30)}") for i, t in enumerate(leaks)]
+    data += [(1000 + i, prose(rng, 100)) for i in range(200)]
+    docs, bench = frame(spark, data), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontam.matches(docs, bench).collect()} == set(range(len(leaks)))
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {i for i, _ in data if i >= 1000}
+
+
 def test_smith_waterman_against_table():
     rng = np.random.default_rng(3)
     for _ in range(60):
