@@ -348,6 +348,24 @@ def test_passages(spark, corpus):
     assert all(left[i] == texts[i] for i in left if i not in got)
 
 
+def test_passages_held_twice(spark):
+    """The second copy, and one after a stray use of each of its grams, are found too."""
+    rng = random.Random(17)
+    own = lambda n: prose(rng, n, 10**6)
+    once, stray = own(60), own(60)
+    w = stray.split()
+    grams = " ".join(" ".join(w[i : i + 6]) + " " + own(3) for i in range(0, 55))
+    data = [(1, f"{own(30)} {once} {own(30)}"), (2, f"{own(40)} {once} {own(40)} {once} {own(30)}")]
+    data += [(3, f"{grams} {own(30)} {stray} {own(9)}"), (4, f"{own(20)} {stray} {own(20)}")]
+    data += [(5, f"{own(20)} {w[0]}x " + "same " * 300), (6, "same " * 200 + own(9))]
+    spans = collections.defaultdict(set)
+    for r in passages.passages(frame(spark, data)).collect():
+        spans[r.doc_id] |= set(range(r.first_word, r.end_word))
+    assert set(range(40, 100)) | set(range(140, 200)) <= spans[2]
+    assert set(range(20, 80)) <= spans[4]
+    assert set(range(200)) <= spans[6]
+
+
 def test_passages_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert passages.passages(empty).count() == 0
