@@ -366,6 +366,20 @@ def test_passages_held_twice(spark):
     assert set(range(200)) <= spans[6]
 
 
+@pytest.mark.parametrize("one, two, between", [(60, 25, 30), (60, 25, 38), (60, 25, 45), (60, 60, 20), (60, 60, 35), (60, 60, 45), (60, 60, 55), (90, 25, 58)])
+def test_passages_with_own_words_between(spark, one, two, between):
+    rng = random.Random(18)
+    own = lambda n: " ".join(f"own{rng.randrange(10**9)}" for _ in range(n))
+    a, b = prose(rng, one), prose(rng, two)
+    data = [(1, f"{own(40)} {a} {own(between)} {b} {own(40)}"), (2, f"{own(30)} {a} {own(between)} {b} {own(30)}")]
+    docs = frame(spark, data)
+    got = sorted((r.first_word, r.end_word) for r in passages.passages(docs).collect())
+    first, second = (30, 30 + one), (30 + one + between, 30 + one + between + two)
+    assert got == ([first, second] if two >= 50 else [first])
+    left = {r.doc_id: r.text for r in passages.remove(docs, passages.passages(docs)).collect()}
+    assert " ".join(data[1][1].split()[30 + one : 30 + one + between]) in left[2]
+
+
 def test_passages_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert passages.passages(empty).count() == 0
