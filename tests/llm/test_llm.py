@@ -507,8 +507,68 @@ def test_packing(spark, corpus):
 
 
 def test_walk_prefers_low_degree():
-    order = packing.walk(np.array([10, 11, 12, 13]), [[11, 12], [10], [10], None])
-    assert order.tolist() == [3, 1, 0, 2]
+    one = lambda *x: np.array(x, dtype=np.int64)
+    order = packing.walk(one(10, 11, 12, 13), one(10, 10), one(11, 12), one(1, 1), one(2, 2), one(1, 1))
+    assert order == [[3], [1, 0, 2]]
+    # the stronger link first, though its end has more links
+    order = packing.walk(one(1, 2, 3, 4), one(1, 1, 2), one(2, 3, 4), one(3, 1, 1), one(2, 2, 2), one(2, 1, 1))
+    assert order == [[2, 0, 1, 3]]
+
+
+def brute_links(numbers):
+    """(u, v) -> how many sketch values link them, from the whole table."""
+    out = collections.Counter()
+    for k in range(6):
+        line = sorted((s[k], s[(k + 1) % 6], node) for node, s in numbers)
+        for a, b in zip(line, line[1:]):
+            if a[0] == b[0]:
+                out[min(a[2], b[2]), max(a[2], b[2])] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 40, 10**6])
+def test_packing_paths_over_the_whole_graph(spark, block):
+    """All links count, whatever the blocks and partitions: paths step along links only, no link is left
+    between the ends of two paths, and there are about as many steps as in a walk over the whole."""
+    rng = random.Random(23)
+    texts = []
+    for _ in range(40):
+        base = prose(rng, 60).split(" ")
+        for _ in range(rng.randrange(1, 9)):
+            t = list(base)
+            for _ in range(rng.randrange(25)):
+                t[rng.randrange(60)] = f"own{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+    texts += [texts[0]] * 30 + [None, "", "", "x"]
+    data = [(i // 2, t) for i, t in enumerate(texts)]
+    cfg = packing.PackConfig(vocabulary(), block=block)
+    seen = []
+    for parts in (1, 5):
+        tokens = packing.tokenized(spark.createDataFrame(data, DOCS).repartition(parts), cfg)
+        placed, links = packing.paths(tokens, cfg)
+        numbers = [(r.node, tuple(r.sketch)) for r in packing.nodes(tokens).collect()]
+        assert [s for _, s in sorted(numbers)] == sorted(s for _, s in numbers) and sorted(n for n, _ in numbers) == list(range(len(texts)))
+        graph = brute_links(numbers)
+        assert {(r.u, r.v): r.strength for r in links.collect()} == graph
+        rows = sorted(map(tuple, placed.select("root", "off", "n", "node").collect()))
+        assert sorted(r[3] for r in rows) == list(range(len(texts)))
+        whole = collections.defaultdict(list)
+        for root, off, n, node in rows:
+            assert off == sum(m for m, _ in whole[root])
+            whole[root].append((n, node))
+        steps = 0
+        ends = {}
+        for root, path in whole.items():
+            for (_, a), (_, b) in zip(path, path[1:]):
+                assert (min(a, b), max(a, b)) in graph
+                steps += 1
+            ends[path[0][1]] = ends[path[-1][1]] = root
+        assert not [e for e in graph if e[0] in ends and e[1] in ends and ends[e[0]] != ends[e[1]]]
+        lk = links.toPandas()
+        once = packing.walk(np.arange(len(texts)), *(lk[c].to_numpy() for c in ("u", "v", "strength", "du", "dv")))
+        assert steps >= 0.95 * sum(len(p) - 1 for p in once) > 100
+        seen.append((rows, sorted(tuple(r) for r in packing.pack(spark.createDataFrame(data, DOCS).repartition(parts), cfg).collect())))
+    assert seen[0][0] == seen[1][0] and seen[0][1] == seen[1][1]
 
 
 # --- op5 ---
