@@ -48,7 +48,17 @@ def local_session(cores: int | str = "*", name: str = "loomsieve", **conf: str)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like ``cut``, as a Parquet table: later plans read only the columns they use."""
+    """Like ``cut``, as a Parquet table: later plans read only the columns they use, know its size and
+    inherit no constraints, which a checkpoint hands on and loops pile up."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
