@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsieve.llm import scan
-from loomsieve.session import cut, stored
+from loomsieve.session import cut, discard, stored
 
 U = np.uint64
 AFTER_SPACE = np.zeros(256, dtype=bool)
@@ -291,7 +291,7 @@ def joined(links: DataFrame, placed: DataFrame) -> DataFrame:
     low, high = F.least("du", "dv"), F.greatest("du", "dv")
     rank = F.struct((-F.col("strength")).alias("s"), low.alias("low"), high.alias("high"), F.xxhash64("u", "v").alias("h"))
     live = links.select("u", "v", rank.alias("rank")).join(side("u", "a"), "u").join(side("v", "b"), "v").where("a.frag <> b.frag").select("rank", "u", "v", "a", "b")
-    live = cut(live)
+    live = stored(live, "links")
     merges: list[DataFrame] = []
     while True:
         link = F.struct("rank", "u", "v", "a", "b")
@@ -307,14 +307,15 @@ def joined(links: DataFrame, placed: DataFrame) -> DataFrame:
         )
         child = lambda p, off, flip: F.struct(F.col(f"{p}.frag").alias("child"), F.col(f"{p}.len").alias("size"), off.alias("off"), flip.alias("flip"))
         two = F.array(child("a", F.lit(0).cast("long"), turned_a), child("b", F.col("a.len"), turned_b))
-        step = cut(both.select(whole.alias("p"), F.explode(two).alias("c")).select("c.*", "p"))
+        step = stored(both.select(whole.alias("p"), F.explode(two).alias("c")).select("c.*", "p"), "joined")
         if step.isEmpty():
             break
         merges.append(step)
         now = lambda p: step.select(F.col("child").alias(f"{p}_"), F.col("p").alias(f"new_{p}"))
-        live = live.join(now("a"), F.col("a.frag") == F.col("a_"), "left").join(now("b"), F.col("b.frag") == F.col("b_"), "left")
+        before, live = live, live.join(now("a"), F.col("a.frag") == F.col("a_"), "left").join(now("b"), F.col("b.frag") == F.col("b_"), "left")
         live = live.select("rank", "u", "v", F.coalesce("new_a", "a").alias("a"), F.coalesce("new_b", "b").alias("b"))
-        live = cut(live.where("a.frag <> b.frag and (u = a.left or u = a.right) and (v = b.left or v = b.right)"))
+        live = stored(live.where("a.frag <> b.frag and (u = a.left or u = a.right) and (v = b.left or v = b.right)"), "links")
+        discard(before)
     if not merges:
         return placed.sparkSession.createDataFrame([], "child long, root long, off long, flip boolean")
     out = None
@@ -326,13 +327,13 @@ def joined(links: DataFrame, placed: DataFrame) -> DataFrame:
         above = out.select(F.col("child").alias("above"), "root", F.col("off").alias("base"), F.col("flip").alias("turn"))
         both = own.join(above, F.col("parent") == F.col("above"), "full")
         off = F.when(F.coalesce("turn", F.lit(False)), F.col("whole") - F.col("off") - F.col("size")).otherwise(F.col("off")) + F.coalesce("base", F.lit(0))
-        out = both.select(
+        out = stored(both.select(
             F.coalesce("child", "above").alias("child"),
             F.coalesce("root", "parent").alias("root"),
             F.when(F.col("child").isNull(), F.col("base")).otherwise(off).alias("off"),
             F.when(F.col("child").isNull(), F.col("turn")).otherwise(F.col("flip") != F.coalesce("turn", F.lit(False))).alias("flip"),
-        )
-    return cut(out)
+        ), "placed")
+    return out
 
 
 def paths(tokens: DataFrame, cfg: PackConfig) -> tuple[DataFrame, DataFrame]:
