@@ -26,7 +26,6 @@ into files or partitions. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
 import os
 import zlib
 from dataclasses import dataclass
@@ -44,6 +43,8 @@ AFTER_SPACE = np.zeros(256, dtype=bool)
 AFTER_SPACE[0x21:0x7F] = True
 AFTER_SPACE[0xC3:0xE0] = True  # two-byte characters, none of which is white space
 KNOWN_MOST = 3_000_000
+#: Odd numbers; times an evenly spread hash they order it in as many ways.
+MULTIPLIERS = [scan.mix_int(k + 1) | 1 for k in range(64)]
 
 
 @dataclass(frozen=True)
@@ -62,19 +63,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # bytes a token stands for: a character a byte, but for added tokens, which are given as text
+        added = self.tokenizer.get_added_tokens_decoder()
+        vocab = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self.width[i] = len(token.encode()) if i in added else len(token)
         self.forget()
 
     def forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
-        self.pool = np.zeros(0, dtype=np.int32)
-
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in got], dtype=np.int64)
-        at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, np.array(list(itertools.chain.from_iterable(got)), dtype=np.int32)])
+        self.pool = np.zeros(1 << 16, dtype=np.int32)
+        self.used = 0
+
+    def _tokens(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and how many each chunk has. Chunks that begin with a space before a visible character
+        are encoded many at a time, as the tokenizer cuts there anyway; the ids are told apart by the
+        bytes they stand for."""
+        joins = [i > 0 and len(c) > 1 and c[0] == 32 and bool(AFTER_SPACE[c[1]]) for i, c in enumerate(chunks)]
+        groups: list[list[bytes]] = []
+        for c, more in zip(chunks, joins):
+            if more and len(groups[-1]) < 1000:
+                groups[-1].append(c)
+            else:
+                groups.append([c])
+        texts = [b"".join(g).decode("utf-8", "replace") for g in groups]
+        got = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(got)
+        ends = np.cumsum(self.width[ids])
+        want = np.cumsum([len(c) for c in chunks])
+        last = np.searchsorted(ends, want)
+        if len(ids) and (ends[-1] != want[-1] or (ends[last] != want).any()):
+            raise ValueError("the tokenizer's ids don't add up to the bytes of the text")
+        return ids, np.diff(last + 1, prepend=0)
+
+    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
+        ids, size = self._tokens(chunks)
+        at = self.used + np.cumsum(size) - size
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(ids), dtype=np.int32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
         where = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
 
@@ -95,7 +126,8 @@ class Encoder:
         new = self.keys[i] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         if new.any():
             raw = data.tobytes()
-            self._learn(distinct[new], [raw[start[j] : end[j]].decode("utf-8", "replace") for j in first[new].tolist()])
+            j = first[new]
+            self._learn(distinct[new], [raw[x:y] for x, y in zip(start[j].tolist(), end[j].tolist())])
             i = np.searchsorted(self.keys, distinct)
         at, size = self.at[i][back], self.size[i][back]
         text = np.searchsorted(off, start, "right") - 1
@@ -130,7 +162,7 @@ def sketches(texts: pa.Array, size: int) -> np.ndarray:
     for k in range(size):
         out[:, k] = whole
         if len(some):
-            out[some, k] = scan.signed(np.minimum.reduceat(scan.mix(g ^ U(0x9E3779B97F4A7C15 * (k + 3) & (1 << 64) - 1)), bounds[:-1][some]))
+            out[some, k] = scan.signed(np.minimum.reduceat(g * U(MULTIPLIERS[k]), bounds[:-1][some]))
     return out
 
 
