@@ -304,15 +304,17 @@ def brute_chain(seg, gap, reach):
 
 def test_chaining_against_quadratic():
     rng = np.random.default_rng(4)
-    for _ in range(80):
+    for case in range(1500):
         n = int(rng.integers(1, 14))
-        seg = np.stack([rng.integers(0, 120, n), rng.integers(0, 120, n), rng.integers(3, 15, n)], axis=1)
+        wide = (120, 400)[case % 2]
+        seg = np.stack([rng.integers(0, wide, n), rng.integers(0, wide, n), rng.integers(3, 15, n)], axis=1)
         seg = seg[np.lexsort((seg[:, 1], seg[:, 0]))]
-        top = passages.chains(seg, 0.25, 10**6)
-        assert sorted(map(tuple, np.concatenate(top))) == sorted(map(tuple, seg))
-        path = top[0]
-        score = path[:, 2].sum() - 0.25 * sum(path[k, 0] - path[k - 1, 0] - path[k - 1, 2] + path[k, 1] - path[k - 1, 1] - path[k - 1, 2] for k in range(1, len(path)))
-        assert score == pytest.approx(brute_chain(seg.tolist(), 0.25, 10**6))
+        for reach in (passages.PassageConfig().reach, 7, 10**6):
+            top = passages.chains(seg, 0.25, reach)
+            assert sorted(map(tuple, np.concatenate(top))) == sorted(map(tuple, seg))
+            path = top[0]
+            score = path[:, 2].sum() - 0.25 * sum(path[k, 0] - path[k - 1, 0] - path[k - 1, 2] + path[k, 1] - path[k - 1, 1] - path[k - 1, 2] for k in range(1, len(path)))
+            assert score == pytest.approx(brute_chain(seg.tolist(), 0.25, reach))
 
 
 def repeats(texts, n=50):
@@ -325,7 +327,7 @@ def repeats(texts, n=50):
 
 
 def test_passages(spark, corpus):
-    data = [(i, t) for i, t in corpus if not (t or "").startswith("a a a")]
+    data = corpus + [(9000, "so it goes " * 50), (9001, "it goes so " * 60), (9002, "goes " * 70 + "so it goes " * 40)]
     docs = frame(spark, data)
     found = passages.passages(docs).collect()
     must = set().union(*[v - {min(v)} for v in repeats(data)])
@@ -340,7 +342,7 @@ def test_passages(spark, corpus):
         x, y = a[r.first_word : r.end_word], b[r.source_first : r.source_end]
         if r.identity == 1.0:
             assert x == y
-    out = passages.remove(docs.selectExpr("*", "'s' spans_", "doc_id owner"), passages.passages(docs))
+    out = passages.remove(docs.selectExpr("*", "'s' spans", "doc_id owner"), passages.passages(docs))
     rest = [(r.doc_id, r.text) for r in out.collect()]
     assert not repeats(rest)
     assert {i for i, _ in data} - {i for i, _ in rest} <= got
@@ -348,6 +350,40 @@ def test_passages(spark, corpus):
     assert all(left[i] == texts[i] for i in left if i not in got)
 
 
+def test_passages_whatever_the_split_and_crowd(spark, corpus):
+    rng = random.Random(31)
+    shared = prose(rng, 60)
+    data = corpus + [(8000 + i, f"{prose(rng, 30)} {shared} {prose(rng, 30)}") for i in range(40)]
+    seen = []
+    for parts, crowd in ((1, 64), (1, 10), (1, 2), (7, 5), (16, 64)):
+        docs = spark.createDataFrame(random.Random(parts).sample(data, len(data)), DOCS).repartition(parts)
+        seen.append(sorted(map(tuple, passages.passages(docs, passages.PassageConfig(crowd=crowd)).collect())))
+    assert len(seen[0]) > 45 and all(x == seen[0] for x in seen)
+
+
+@pytest.mark.parametrize("words, step, least", [(60, 6, 0.9), (60, 8, 0.95), (60, 10, 0.95), (100, 6, 0.95), (100, 8, 0.98)])
+def test_edited_passages(spark, words, step, least):
+    """Every ``step``-th word replaced: identity 0.83 to 0.9."""
+    rng = random.Random(41)
+    own = lambda n: " ".join(f"own{rng.randrange(10**9)}" for _ in range(n))
+    data = []
+    for k in range(150):
+        t = prose(rng, words, 10**6).split(" ")
+        edited = [own(1) if i % step == step - 1 else w for i, w in enumerate(t)]
+        data += [(2 * k, f"{own(40)} {' '.join(t)} {own(40)}"), (2 * k + 1, f"{own(30)} {' '.join(edited)} {own(50)}")]
+    found = passages.passages(frame(spark, data)).collect()
+    assert all(r.doc_id == r.source_doc_id + 1 and 30 <= r.first_word and r.end_word <= 30 + words and r.identity >= 0.8 for r in found)
+    assert len({r.doc_id for r in found}) >= least * 150
+    print(words, step, len({r.doc_id for r in found}) / 150)
+
+
+def test_passages_without_doc_id(spark):
+    t = "one two three four five six seven eight nine ten " * 6
+    docs = frame(spark, [(None, t), (None, t), (1, t)])
+    assert passages.passages(docs).count() == 0
+    assert sorted((r.doc_id or 0, r.text) for r in passages.remove(docs, passages.passages(docs)).collect()) == [(0, t), (0, t), (1, t)]
+
+
 def test_passages_held_twice(spark):
     """The second copy, and one after a stray use of each of its grams, are found too."""
     rng = random.Random(17)
