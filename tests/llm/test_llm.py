@@ -285,7 +285,11 @@ def test_minimizers_brute():
     rng = np.random.default_rng(2)
     h = scan.mix(rng.integers(0, 9, 400, dtype=np.uint64))
     first = np.array([0, 3, 100, 100, 107, 250, 400])
-    at, g = passages.minimizers(h, first, 4, 6)
+    all_, bounds = scan.windows(first, 4)
+    at = all_[passages.minimizers(scan.gram_hashes(h, all_, 4), bounds, 6)]
+    long = passages.long_grams(h, all_, 4)
+    texts = [h[i : i + 4].tobytes() for i in all_]
+    assert all((long[i] == long[j]) == (texts[i] == texts[j]) for i in range(0, len(texts), 3) for j in range(0, len(texts), 7))
     want = set()
     for a, b in zip(first[:-1], first[1:]):
         grams = [(int(scan.gram_hashes(h, np.array([i]), 4)[0]), i) for i in range(a, b - 3)]
