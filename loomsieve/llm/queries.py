@@ -71,10 +71,10 @@ def op4_packing(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op5_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled turns become raw transcripts (some without markers). The model is fitted on the
-    conversations of one half; all are parsed."""
-    raw = chat.with_markers(table(spark, d, "conversations"))
-    return chat.parse(raw, chat.fit(raw.where("pmod(xxhash64(conv_id, 7), 2) = 0")))
+    """Labelled turns become raw transcripts of several turns a text, some turns without markers. The
+    model is fitted on the labelled turns; the transcripts are parsed without the labels."""
+    marked = chat.with_markers(table(spark, d, "conversations"))
+    return chat.parse(chat.joined(marked), chat.fit(marked))
 
 
 @query
