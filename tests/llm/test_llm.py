@@ -760,6 +760,60 @@ def test_classifier(spark):
     assert classifier.score(odd, model).count() == 2 and classifier.score(docs.where("false"), model).count() == 0
 
 
+def test_co_training_round_by_brute_force(spark):
+    """One round and its steps over the stored pool equal the same done on whole matrices."""
+    rng = random.Random(14)
+    data, labels = [], []
+    for i in range(700):
+        bad = i % 3 == 0
+        words = prose(rng, rng.randrange(20, 60), 300).split(" ")
+        if bad:
+            words[::4] = ["spam"] * len(words[::4])
+        data.append((i, " ".join(words), "en", "junk" if bad and i % 2 else f"s{i % 4}", len(words)))
+        labels.append((i, 0 if bad else 1, None))
+    docs = frame(spark, data, "doc_id long, text string, lang string, source string, n_chars long")
+    cfg = classifier.CoTrainConfig(rounds=1, steps=2, share=0.2, sure=0.6)
+    ids = np.arange(300)
+    y = np.array([q for _, q, _ in labels])
+    texts = pa.array([t for _, t, *_ in data])
+    w, bounds = classifier.word_ids(texts)
+    _, stats = classifier.statistics(texts)
+    slots = classifier.meta_rows(*[[r[k] for r in data] for k in (2, 3, 4)])
+    take = lambda: classifier.Labelled(w[: bounds[300]], bounds[:301], stats[:300], slots[:300], y[:300], classifier.parts_of(ids), cfg)
+    got, want = take(), take()
+    pool = classifier.pool_features(classifier.selected(docs), [got], ids)
+    classifier.co_train(pool, [got], cfg)
+    h = want.head
+    x = [m[300:] for m in (h.text_matrix(w, bounds, stats.astype("<f4").astype(float)), h.meta_matrix(slots))]
+    pseudo = {}
+    for view, m in enumerate((h.text, h.meta)):
+        z = np.floor((m.logit(x[view]) + 30) * 100)
+        order = np.sort(z)
+        most = int(0.2 * len(z))
+        limit = np.floor((np.log(0.6 / 0.4) + 30) * 100)
+        up = [v for v in np.unique(z) if (z >= v).sum() <= most and v > limit]
+        down = [v for v in np.unique(z) if (z <= v).sum() <= most and v < 6000 - limit]
+        pseudo[1 - view] = (z >= min(up, default=9999), z <= max(down, default=-1))
+        assert len(order) == 400
+    before = [m.w.copy() for m in (h.text, h.meta)]
+    for _ in range(2):
+        for view, m in enumerate((h.text, h.meta)):
+            one, zero = pseudo[view]
+            on = np.flatnonzero(one | zero)
+            xs = np.hstack([x[view][on], np.ones((len(on), 1))])
+            want.step(view, xs.T @ (classifier.sigmoid(xs @ m.w) - one[on]), len(on))
+    assert sum(a.sum() + b.sum() for a, b in pseudo.values()) > 50
+    for a, b, c in zip((got.head.text, got.head.meta), (h.text, h.meta), before):
+        np.testing.assert_allclose(a.w, b.w, rtol=1e-6, atol=1e-8)
+        assert np.abs(a.w - c).max() > 1e-3
+    # each view is calibrated on rows of its own
+    head = got.finish(cfg, False)
+    rows = np.flatnonzero(classifier.parts_of(ids) == classifier.CALIBRATE)
+    for m, scale, xv in zip((head.text, head.meta), head.scales, got.x):
+        p = classifier.sigmoid(scale.logit(m.logit(xv[rows])[:, None]))
+        assert abs(p.mean() - y[rows].mean()) < 0.05
+
+
 # --- pipeline ---
 
 
