@@ -39,11 +39,11 @@ META = 512
 
 @dataclass(frozen=True)
 class CoTrainConfig:
-    labelled: int = 6000
+    labelled: int = 10_000
     rounds: int = 3
     share: float = 0.05
     sure: float = 0.95
-    steps: int = 3
+    steps: int = 4
     words: int = 400
     least_z: float = 4.0
     max_loss: float = 0.01
@@ -154,9 +154,9 @@ BINS = 6001
 
 
 def parts_of(ids: np.ndarray) -> np.ndarray:
-    """What a labelled row serves for: half of them the fit."""
+    """What a labelled row serves for: five of eight the fit."""
     k = (scan.mix(ids.astype(np.uint64)) % np.uint64(8)).astype(np.int64)
-    return np.array([CALIBRATE, COMBINE, THRESHOLD, THRESHOLD, TRAIN, TRAIN, TRAIN, TRAIN])[k]
+    return np.array([CALIBRATE, COMBINE, THRESHOLD] + 5 * [TRAIN])[k]
 
 
 class Labelled:
@@ -176,13 +176,26 @@ class Labelled:
         self.rows = rows
         self.head.text, self.head.meta = (Logistic(x[rows], y[rows]) for x in self.x)
 
-    def step(self, view: int, gradient: np.ndarray, n: int) -> None:
-        """One step on labelled rows and n pseudo-labelled ones, of which only the gradient is known. The
-        curvature of the latter is taken to be that of the labelled rows, in proportion to the weight."""
+    def calibrate(self) -> None:
+        r = self.rows_for(CALIBRATE)
+        self.head.scales = tuple(Logistic(m.logit(x[r])[:, None], self.y[r], ridge=0.1) for m, x in zip((self.head.text, self.head.meta), self.x))
+        self.before: list = [None, None]
+
+    def step(self, view: int, gradient: np.ndarray, loss: float, n: int) -> None:
+        """One step on labelled rows and n pseudo-labelled ones, of which only gradient and loss are known.
+        The curvature is its upper bound, that of the latter taken to be that of the labelled rows in
+        proportion to the weight; a step after which the loss is higher is halved instead."""
         m = (self.head.text, self.head.meta)[view]
-        h, g = m.slopes(self.x[view][self.rows], self.y[self.rows])
+        x, y = np.hstack([self.x[view][self.rows], np.ones((len(self.rows), 1))]), self.y[self.rows]
         weight = min(1.0, len(self.rows) / max(n, 1))
-        m.w = m.w - np.linalg.solve(h + (h - np.diag(m.reg)) * (weight * n / len(self.rows)), g + weight * gradient)
+        z = np.clip(x @ m.w, -30, 30)
+        total = float(np.logaddexp(0, z).sum() - z[y == 1].sum() + weight * loss + (m.reg * m.w**2).sum() / 2)
+        if self.before[view] is not None and total > self.before[view][1] + 1e-9:
+            m.w = (m.w + self.before[view][0]) / 2
+            return
+        self.before[view] = (m.w.copy(), total)
+        bound = x.T @ x / 4 * (1 + weight * n / len(self.rows)) + np.diag(m.reg)
+        m.w = m.w - np.linalg.solve(bound, x.T @ (sigmoid(z) - y) + m.reg * m.w + weight * gradient)
 
     def rows_for(self, part: int) -> np.ndarray:
         """The part's rows, or all that the fit doesn't use if the part lacks a class."""
@@ -193,23 +206,22 @@ class Labelled:
         head = self.head
         if not self.ready:
             return head
-        r = self.rows_for(CALIBRATE)
-        head.scales = tuple(Logistic(m.logit(x[r])[:, None], self.y[r], ridge=0.1) for m, x in zip((head.text, head.meta), self.x))
+        self.calibrate()
         r = self.rows_for(COMBINE)
         head.both = Logistic(head.views(self.x[0][r], self.x[1][r]), self.y[r], ridge=0.1)
         r = self.rows_for(THRESHOLD)
         s, y = head.score(self.x[0][r], self.x[1][r]), self.y[r]
         clean = np.sort(s[y == (0 if reject_high else 1)])
         k = int(cfg.max_loss * len(clean))
-        # between the classes where they part, else at the permitted loss
+        # as far from 0.5 towards the clean rows as the permitted loss goes, if that catches more
         if reject_high:
-            bad = s[y == 1]
-            low = clean[len(clean) - 1 - k]
-            head.threshold = max(0.5, float(low)) if low < 0.5 or not (bad > low).any() else float(low) + 1e-9
+            low = float(clean[len(clean) - 1 - k])
+            bad = s[(y == 1) & (s > low)]
+            head.threshold = low if low >= 0.5 else min(0.5, float(np.nextafter(bad.min(), 0))) if len(bad) else 0.5
         else:
-            bad = s[y == 0]
-            high = clean[k]
-            head.threshold = min(0.5, float(high)) if high > 0.5 or not (bad < high).any() else float(high) - 1e-9
+            high = float(clean[k])
+            bad = s[(y == 0) & (s < high)]
+            head.threshold = high if high <= 0.5 else max(0.5, float(np.nextafter(bad.max(), 1))) if len(bad) else 0.5
         return head
 
 
@@ -304,29 +316,38 @@ def view_of(h: Head, view: int) -> Logistic:
 
 
 def co_train(pool: DataFrame, heads: list[Labelled], cfg: CoTrainConfig) -> None:
-    """The rounds. A view's new fit uses the pseudo-labels of the other view's last fit."""
+    """The rounds. A view's new fit uses the pseudo-labels of the other view's last fit; how sure a view
+    is, is told by its calibrated logit, so a view that knows no more than the prior labels nothing."""
     for r in range(1, cfg.rounds + 1):
+        for h in heads:
+            if h.ready:
+                h.calibrate()
         now = [h.head for h in heads]
 
         def count(total, h, k, view, x):
-            total += np.bincount(bin_of(view_of(h, view).logit(x[view])), minlength=BINS)
+            total += np.bincount(bin_of(h.scales[view].logit(view_of(h, view).logit(x[view])[:, None])), minlength=BINS)
 
         counts = pool_pass(pool, now, lambda h, view: BINS, count)
         cuts = {key: cuts_of(c, cfg.share * r, cfg.sure) for key, c in counts.items()}
-        teachers = {key: view_of(now[key[0]], key[1]).w.copy() for key in cuts}
+        teachers = {key: (view_of(now[key[0]], key[1]).w.copy(), now[key[0]].scales[key[1]].w.copy()) for key in cuts}
         for _ in range(cfg.steps):
 
             def slope(total, h, k, view, x):
                 teacher = 1 - view
-                z = bin_of(np.clip(x[teacher] @ teachers[k, teacher][:-1] + teachers[k, teacher][-1], -30, 30))
+                w, (a, b) = teachers[k, teacher]
+                if a <= 0:
+                    return
+                z = bin_of(np.clip(a * np.clip(x[teacher] @ w[:-1] + w[-1], -30, 30) + b, -30, 30))
                 low, high = cuts[k, teacher]
                 on = np.flatnonzero((z <= low) | (z >= high))
-                xs = np.hstack([x[view][on], np.ones((len(on), 1))])
-                total[:-1] += xs.T @ (sigmoid(xs @ view_of(h, view).w) - (z[on] >= high))
+                xs, y = np.hstack([x[view][on], np.ones((len(on), 1))]), z[on] >= high
+                own = np.clip(xs @ view_of(h, view).w, -30, 30)
+                total[:-2] += xs.T @ (sigmoid(own) - y)
+                total[-2] += np.logaddexp(0, own).sum() - own[y].sum()
                 total[-1] += len(on)
 
-            for (k, view), v in pool_pass(pool, [h.head for h in heads], lambda h, view: len(view_of(h, view).w) + 1, slope).items():
-                heads[k].step(view, v[:-1], int(v[-1]))
+            for (k, view), v in pool_pass(pool, [h.head for h in heads], lambda h, view: len(view_of(h, view).w) + 2, slope).items():
+                heads[k].step(view, v[:-2], float(v[-2]), int(v[-1]))
 
 
 @dataclass
