@@ -39,7 +39,7 @@ META = 512
 
 @dataclass(frozen=True)
 class CoTrainConfig:
-    labelled: int = 10_000
+    labelled: int = 8000
     rounds: int = 3
     share: float = 0.05
     sure: float = 0.95
