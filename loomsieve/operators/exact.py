@@ -1,7 +1,7 @@
 """Exact deduplication: the first record of each key, in a declared order, stays.
 
-A combined minimum rather than ``dropDuplicates``: the survivor is fixed and null
-keys stay apart; rather than a window: no task sorts the rows of a hot key.
+A combined minimum of order values rather than ``dropDuplicates``: the survivor is fixed
+and null keys stay apart; rather than a window: no task sorts the rows of a hot key.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsieve.functions import hashing, text
+from loomsieve.session import stored
 
 STRATEGIES = ("full", "field", "normalized", "multi")
 
@@ -34,30 +35,52 @@ def choose_strategy(field: str | None, normalize: bool) -> str:
     return ("normalized" if normalize else "field") if field else "full"
 
 
-def survivors(df: DataFrame, key: Column, order_col: str) -> DataFrame:
-    """Only the order column of the records that stay. A minimum by key digest is combined on
-    the map side, so a key that holds a third of all rows adds one row a map task."""
-    keyed = df.select(F.col(order_col), F.sha2(key, 256).alias("__d"))
-    first = keyed.where("__d is not null").groupBy("__d").agg(F.min(order_col).alias(order_col)).select(order_col)
-    return first.unionByName(keyed.where("__d is null").select(order_col))
+def digest(key: Column) -> Column:
+    return F.unhex(F.sha2(key.cast("string"), 256))
+
+
+def repeated(df: DataFrame, key: Column, order_col: str) -> DataFrame:
+    """(__d, __none, __first, __ties): the digest of each key that several records have, whether its first
+    record has no order value and which one it has otherwise, and how many records share that. One pass
+    over the key's columns, combined on the map side; only digests are shuffled. Null order values come
+    last. The table is written out, so what follows knows its size."""
+    keyed = df.select(digest(key).alias("__d"), F.col(order_col).alias("__o")).where("__d is not null")
+    each = keyed.groupBy("__d", "__o").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("__o").isNull().alias("none"), F.col("__o").alias("o"), "n")).alias("f")
+    keys = each.groupBy("__d").agg(first, F.sum("n").alias("n")).where("n > 1")
+    return stored(keys.select("__d", F.col("f.none").alias("__none"), F.col("f.o").alias("__first"), F.col("f.n").alias("__ties")), "repeated-keys")
 
 
 def mark_duplicates(df: DataFrame, key: Column, order_col: str, flag: str = "is_duplicate") -> DataFrame:
-    """Adds a boolean: an earlier record (by ``order_col``, which must be unique) has the same key."""
-    kept = survivors(df, key.cast("string"), order_col).withColumn("__kept", F.lit(True))
-    return df.join(kept, order_col, "left").withColumn(flag, F.col("__kept").isNull()).drop("__kept").select(*df.columns, flag)
+    """Adds a boolean: an earlier record (by ``order_col``, nulls last) has the same key. Records that tie
+    for the first place all count as first."""
+    keys = repeated(df, key, order_col)
+    both = df.withColumn("__k", digest(key)).join(keys, F.col("__k") == F.col("__d"), "left")
+    first = F.col("__d").isNull() | F.col(order_col).eqNullSafe(F.col("__first"))
+    return both.withColumn(flag, ~first).select(*df.columns, flag)
+
+
+def keep_first(df: DataFrame, key: Column, order_col: str) -> DataFrame:
+    """The first record of each key by ``order_col``, nulls last; one of those that tie for the first
+    place; every record without a key. Records meet only the keys that repeat: few of them are broadcast,
+    by their written size, and adaptive execution splits a key that holds many rows."""
+    keys = repeated(df, key, order_col)
+    both = df.withColumn("__k", digest(key)).join(keys, F.col("__k") == F.col("__d"), "left")
+    kept = both.where(F.col("__d").isNull() | F.col(order_col).eqNullSafe(F.col("__first")))
+    if keys.where("__ties > 1").isEmpty():
+        return kept.select(*df.columns)
+    tied = F.coalesce(F.col("__ties") > 1, F.lit(False))
+    return kept.where(~tied).select(*df.columns).unionByName(kept.where(tied).dropDuplicates(["__k"]).select(*df.columns))
 
 
 def exact_dedup(df: DataFrame, strategy: str = "full", fields: list[str] | None = None, order_col: str = "row_id") -> DataFrame:
-    """The first record of each key. Two slim shuffles: digests, then whole rows on their unique
-    order value, so no task ever holds a hot key's rows."""
-    kept = survivors(df, key_column(df, strategy, fields), order_col)
-    return df.join(kept, order_col, "left_semi").select(*df.columns)
+    """The first record of each key (see ``keep_first``)."""
+    return keep_first(df, key_column(df, strategy, fields), order_col)
 
 
 def dedup_by_hash(df: DataFrame, hash_col: str, order_col: str) -> DataFrame:
     """Keep-first on a hash that the caller computed; null is unique."""
-    return df.join(survivors(df, F.col(hash_col).cast("string"), order_col), order_col, "left_semi").select(*df.columns)
+    return keep_first(df, F.col(hash_col), order_col)
 
 
 def dedup_stats(df: DataFrame, strategy: str, fields: list[str] | None = None) -> DataFrame:
@@ -76,7 +99,3 @@ def dedup_stats(df: DataFrame, strategy: str, fields: list[str] | None = None) -
         "distinct_keys",
         F.when(F.col("total_seen") > 0, F.round(dup * 100.0 / F.col("total_seen"), 6)).otherwise(0.0).alias("dedup_rate"),
     )
-
-
-def unique_count(df: DataFrame, key: Column) -> DataFrame:
-    return df.agg(F.countDistinct(key).alias("unique_count"))

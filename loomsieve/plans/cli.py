@@ -72,7 +72,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         data = df if a.field else df.drop("row_id")
         stats = exact.dedup_stats(data, strategy, [a.field] if a.field else None)
         kept_key = exact.key_column(data, strategy, [a.field] if a.field else None)
-        kept = df.join(exact.survivors(df, kept_key, "row_id"), "row_id", "left_semi")
+        kept = exact.keep_first(df, kept_key, "row_id")
         rep = report.exact_report(stats, a.input, a.output, a.dry_run, a.stats_only)
         sinks.write_dataset(kept.drop("row_id"), a.output, dry_run=nothing)
     elif a.command == "fuzzy-dedup":

@@ -129,8 +129,7 @@ def exact_normalized(spark: SparkSession, d: str) -> DataFrame:
 def exact_full_record(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "event_type", "user_id", "value")
     data = e.drop("event_id")
-    kept = exact.survivors(e, exact.key_column(data, "full"), "event_id")
-    return e.join(kept, "event_id", "left_semi").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return exact.keep_first(e, exact.key_column(data, "full"), "event_id").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(first_by("o_custkey, o_orderpriority", "orders", "o_orderkey", "o_orderkey"))
@@ -457,7 +456,10 @@ def filter_report(spark: SparkSession, d: str) -> DataFrame:
     return report.filter_report(pipeline.judge(spread(table(spark, d, "documents").select("doc_id", "text")), Filters()), pipeline.passing())
 
 
-@query()
+@query(f"""with recursive first as materialized (select * from documents where doc_id in ({first_by(FOLDED)})),
+    {shingles_sql(2, True, "first")}, {signature_sql(128)}, {edges_sql(16, 8, 0.8)}, {GREEDY}, {MEMBERS}, {MATCHES},
+    clean as ({_FILTER_SQL} select r.doc_id from r join ok using (doc_id) where accepted and len(reasons) = 0)
+    select doc_id from first where doc_id not in (select id from gone) and doc_id in (select doc_id from clean)""")
 def pipeline_full(spark: SparkSession, d: str) -> DataFrame:
     cfg = PipelineConfig(Io("documents.parquet", "parquet"), Io("out.parquet", "parquet"), Exact("text", True), Fuzzy(0.8), Filters())
     return pipeline.clean(table(spark, d, "documents"), cfg, "doc_id", WORD2).select("doc_id")

@@ -7,14 +7,14 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsieve.operators.exact import survivors
+from loomsieve.operators.exact import keep_first
 
 
 def unseen(new: DataFrame, seen: DataFrame, key: Column, seen_key: str = "key", order_col: str = "row_id") -> DataFrame:
     """The first record of each key that ``seen`` lacks; null keys always stay."""
     fresh = new.withColumn("__k", key)
     fresh = fresh.join(seen.select(F.col(seen_key).alias("__k")).distinct(), "__k", "left_anti")
-    return fresh.join(survivors(fresh, F.col("__k").cast("string"), order_col), order_col, "left_semi").select(*new.columns)
+    return keep_first(fresh, F.col("__k"), order_col).select(*new.columns)
 
 
 class SeenStore:

@@ -31,7 +31,7 @@ def test_exact_strategies(spark):
     df = rows(spark, [(0, "hello", 1), (1, "hello", 1), (2, "world", 2), (3, "hello", 2)], "row_id long, text string, id int")
     assert ids(exact.exact_dedup(df, "field", ["text"])) == [0, 2]
     assert ids(exact.exact_dedup(df, "multi", ["text", "id"])) == [0, 2, 3]
-    kept = exact.survivors(df, exact.key_column(df.drop("row_id"), "full"), "row_id")
+    kept = exact.keep_first(df, exact.key_column(df.drop("row_id"), "full"), "row_id")
     assert ids(kept) == [0, 2, 3]
     with pytest.raises(ValueError):
         exact.key_column(df, "none")
@@ -70,10 +70,29 @@ def test_exact_order_column_decides(spark):
 
 def test_full_record_nested_and_nan(spark):
     df = rows(spark, [(0, [1, 2], float("nan")), (1, [1, 2], None), (2, [2, 1], None)], "row_id long, v array<int>, d double")
-    kept = exact.survivors(df, exact.key_column(df.drop("row_id"), "full"), "row_id")
+    kept = exact.keep_first(df, exact.key_column(df.drop("row_id"), "full"), "row_id")
     assert ids(kept) == [0, 2]
 
 
+def test_exact_null_and_repeated_order_values(spark):
+    """Null order values come last, ties leave one record, no record without a copy goes."""
+    data = [(1, "a"), (1, "a"), (None, "z"), (2, "b"), (1, "b"), (None, "y"), (None, "y"), (None, "b"), (1, None), (1, None), (3, "a")]
+    df = rows(spark, data, "doc_id long, text string")
+    got = sorted(map(tuple, exact.exact_dedup(df, "field", ["text"], "doc_id").collect()), key=str)
+    assert got == sorted([(1, "a"), (None, "z"), (1, "b"), (None, "y"), (1, None), (1, None)], key=str)
+    marked = sorted(map(tuple, exact.mark_duplicates(df, F.col("text"), "doc_id").collect()), key=str)
+    assert marked == sorted([(*r, r in [(2, "b"), (None, "b"), (3, "a")]) for r in data], key=str)
+    assert exact.exact_dedup(df.where("false"), "field", ["text"], "doc_id").count() == 0
+
+
+def test_exact_dedup_of_few_copies_doesnt_shuffle_texts(spark):
+    df = spark.range(2000).selectExpr("id row_id", "concat('text ', id % 1990) text")
+    out = exact.exact_dedup(df, "normalized", ["text"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert out.count() == 1990
+
+
 # --- text ---
 
 
