@@ -8,9 +8,9 @@ words occur in it for any alignment to reach the threshold. The score is the sha
 the item's words that the best local alignment matches.
 
 Items are joined in blocks of at most ``block`` grams, so what is broadcast has a
-fixed size; every document meets every block. Text is never shuffled. Null and empty texts match nothing; items of
-fewer than n words use their whole sequence as one gram, items without words never
-match. Repeated rows (documents or items) are matched each. Ties: the leftmost
+fixed size; every document meets every block. Text is never shuffled. Null and empty
+texts match nothing. Items of fewer than ``least_words`` words never match: a name or a
+number stands in many clean documents. A null item_id stays null. Repeated rows (documents or items) are matched each. Ties: the leftmost
 placement. Other columns don't matter.
 """
 
@@ -33,6 +33,7 @@ class DecontamConfig:
     n: int = 3
     least_seeds: int = 2
     threshold: float = 0.5
+    least_words: int = 8
     stretch: float = 1.5
     block: int = 400_000
 
@@ -40,16 +41,16 @@ class DecontamConfig:
 class Items:
     """Seeds of a block of items: sorted gram hashes with (item, place) postings."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], cfg: DecontamConfig) -> None:
+    def __init__(self, ids: list[int | None], texts: list[str | None], cfg: DecontamConfig) -> None:
         self.cfg = cfg
         w = scan.Words(pa.array(texts, pa.string()), scan.ALNUM)
         h = w.hashes(fold_case=True)
-        self.ids = np.array(ids, dtype=np.int64)
+        self.ids = ids
         self.words = [h[w.first[i] : w.first[i + 1]] for i in range(w.n)]
         gram, item, place, width = [], [], [], []
         for i, x in enumerate(self.words):
             k = min(cfg.n, len(x))
-            if k:
+            if k and len(x) >= cfg.least_words:
                 g = scan.gram_hashes(x, np.arange(len(x) - k + 1), k)
                 gram.append(g)
                 item.append(np.full(len(g), i))
@@ -168,11 +169,11 @@ def match_hits(items: Items, w: scan.Words, h: np.ndarray, at: np.ndarray, key:
 def item_blocks(benchmark: DataFrame, cfg: DecontamConfig):
     """Blocks of items by bounded word count. The stated query set streams through the driver one
     block at a time."""
-    ids: list[int] = []
+    ids: list[int | None] = []
     texts: list[str | None] = []
     size = 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
-        ids.append(r.item_id if r.item_id is not None else -1)
+        ids.append(r.item_id)
         texts.append(r.text)
         size += len((r.text or "").split()) + 1
         if size > cfg.block:
@@ -204,7 +205,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
                 rows = match_chunk(items, w, w.hashes(fold_case=True))
                 ids = scan.column(c, "doc_id").to_pylist()
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-                cols = list(zip(*[(ids[d], int(items.ids[k]), s, a, b, n) for d, k, s, a, b, n in rows])) or [()] * 6
+                cols = list(zip(*[(ids[d], items.ids[k], s, a, b, n) for d, k, s, a, b, n in rows])) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["doc_id", "item_id", "score", "first_word", "end_word", "n_seeds"])
 
         part = docs.mapInArrow(run, SCHEMA)

@@ -18,7 +18,11 @@ shingles is at least ``percent`` / 100. The join is exact:
    spanning forest, whose components come from alternating large and small stars.
 
 Null and empty texts have an empty set: no links, their own component. Repeated rows
-count as documents of their own. Ties don't arise. Columns besides ``doc_id`` and
+count as documents of their own. Rows of null doc_id are documents too: they link and are
+counted, and component_id is the smallest doc_id that isn't null (null if there is none).
+Ties don't arise. Two tokens of one set with equal 32-bit keys in one bucket count once,
+so a pair of sets of very many tokens could miss a link with a chance of about one in 2^32
+a pair of tokens. Columns besides ``doc_id`` and
 ``text`` are ignored. An empty table gives an empty result.
 """
 
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsieve.llm import scan
-from loomsieve.session import cut
+from loomsieve.session import cut, discard, stored
 
 U = np.uint64
 MAX_HOT = 2_000_000
@@ -285,9 +289,10 @@ class Wanted:
         return bool(self.bits[i >> 3] >> (i & 7) & 1)
 
 
-def wanted_bits(pairs: DataFrame, size: int = 1 << 26) -> Wanted:
-    """A bit map of fixed size (8 MB) over the classes of all pairs. It only spares traffic: rows
-    that pass by chance are dropped by the join that follows."""
+def wanted_bits(pairs: DataFrame) -> Wanted:
+    """A bit map over the classes of all pairs, 32 bits a pair and 32 MB at most. It only spares traffic:
+    rows that pass by chance are dropped by the join that follows."""
+    size = 1 << min(28, max(20, (32 * pairs.count()).bit_length()))
     wide = 1 << 18
 
     def pack(batches):
@@ -362,7 +367,7 @@ def forest(n: int, x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each component, by alternating large and small stars."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
         sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -371,7 +376,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct())
+        last, e = e, stored(small.where("u <> v").distinct(), "edges")
+        discard(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).collect()[0])
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -395,7 +401,7 @@ def jaccard_join(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> Joine
     wanted = spark.sparkContext.broadcast(wanted_bits(pairs))
     in_pairs = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     sets = candidate_sets(docs, cfg, wanted).groupBy("class").agg(F.first("block").alias("block"), F.first("tokens").alias("tokens"))
-    sets = cut(sets.join(in_pairs, "class", "left_semi").join(classes.select("class", F.col("doc_id").alias("least"), "n_docs"), "class"))
+    sets = cut(sets.join(in_pairs, "class", "left_semi").join(classes.select("class", "n_docs"), "class"))
     full = sets.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("splits"))
     block = sets.select("class", "block").join(full, "block").select("class", F.xxhash64("block", F.pmod("class", "splits")).alias("block"))
     located = pairs.join(block.select(F.col("class").alias("a"), F.col("block").alias("ba")), "a").join(block.select(F.col("class").alias("b"), F.col("block").alias("bb")), "b")
@@ -409,7 +415,7 @@ def jaccard_join(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> Joine
         ids = ids[by]
         raw = left.column("tokens").to_pylist()
         sets_ = [np.frombuffer(raw[i], dtype=np.uint64) for i in by]
-        least, weight = left.column("least").to_numpy()[by], left.column("n_docs").to_numpy()[by]
+        weight = left.column("n_docs").to_numpy()[by]
         a = np.searchsorted(ids, right.column("a").to_numpy())
         b = np.searchsorted(ids, right.column("b").to_numpy())
         x, y, degree = verify_group(ids, sets_, weight, a, b, cfg, hot.value)
@@ -417,17 +423,20 @@ def jaccard_join(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> Joine
         on = np.flatnonzero(degree)
         return pa.table(
             {
-                "a": np.concatenate([least[fa], ids[on]]).astype(np.int64),
-                "b": np.concatenate([least[fb], degree[on]]).astype(np.int64),
+                "a": np.concatenate([ids[fa], ids[on]]).astype(np.int64),
+                "b": np.concatenate([ids[fb], degree[on]]).astype(np.int64),
                 "edge": np.concatenate([np.ones(len(fa), bool), np.zeros(len(on), bool)]),
             }
         )
 
     found = cut(needed.groupBy("route").cogroup(routed.select("a", "b", F.col("route").alias("at")).groupBy("at")).applyInArrow(verify, "a long, b long, edge boolean"))
     degree = found.where("not edge").groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("degree"))
-    labels = components(found.where("edge").select("a", "b"))
-    out = classes.join(degree, "class", "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.select("class", "n_shingles", "doc_id", "n_docs", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("label", "doc_id").alias("component_id"))
+    labels = components(found.where("edge").select("a", "b")).withColumnRenamed("node", "class")
+    every = labels.union(labels.select("label", "label").distinct()).join(classes.select("class", "doc_id"), "class")
+    least = every.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    labelled = every.select("class", "label").join(least, "label").select("class", F.lit(True).alias("linked"), "component_id")
+    out = classes.join(degree, "class", "left").join(labelled, "class", "left")
+    out = out.select("class", "n_shingles", "doc_id", "n_docs", F.coalesce("degree", F.lit(0)).alias("degree"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return Joined(rows, out)
 
 
@@ -440,7 +449,8 @@ def near_duplicates(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> Da
 
 
 def representatives(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """The rows of one document of each linked group (its smallest doc_id) and all unlinked ones."""
+    """The rows of one document of each linked group (its smallest doc_id), all unlinked ones, and those
+    without doc_id, which can't be named."""
     near = near_duplicates(docs.select("doc_id", "text"), cfg)
     kept = near.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))

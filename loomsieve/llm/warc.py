@@ -6,7 +6,11 @@ it can be read alone, given the dictionary. A digest aggregate, combined on the
 side, finds the page of each payload that is the response; all other pages with that
 payload become revisit records. Pages meet their digest's decision in one join.
 
-A null html is an empty payload. Repeated rows of the largest page_id of a payload
+Archives are written and read through Arrow's file systems (local, hdfs, s3, gs), so the
+folder may lie wherever all executors reach it.
+
+A null html is an empty payload. A null page_id stays null: such a page revisits the page
+of its payload with the largest page_id, and is a response where no page has one. Repeated rows of the largest page_id of a payload
 (same page_id, same payload) are each a response. An empty table gives no archive and
 no rows. Columns other than page_id, url and html don't matter.
 """
@@ -20,12 +24,13 @@ import struct
 import uuid
 
 import pyarrow as pa
+import pyarrow.fs as fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsieve.llm import scan
-from loomsieve.session import cut, shared_dir
+from loomsieve.session import cut, shared_dir, stored
 
 MAGIC = 0x184D2A5D
 #: Bytes of dictionary, and bytes of records (evenly spread over the archive) it is built from.
@@ -34,21 +39,23 @@ DICTIONARY, TRAINING = 64 << 10, 4 << 20
 ARCHIVE = 32 << 20
 
 
-def local(path: str) -> str:
-    return path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    uri = path.replace("s3a://", "s3://", 1) if "://" in path else os.path.abspath(path.removeprefix("file:"))
+    return fs.FileSystem.from_uri(uri)
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str, payload: bytes, sha: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, sha: str, refers_to: int | None) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     body = payload if refers_to is None else b""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{page_id if page_id is not None else 'none'}>",
         f"WARC-Target-URI: {url.replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{sha}",
@@ -77,21 +84,23 @@ def write_archive(path: str, records: list[bytes]) -> list[tuple[int, int]]:
     raw = build_dictionary(records)
     to = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_content_size=True, write_checksum=True)
     places, at = [], 8 + len(raw)
+    system, path = located(path)
     part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
+    with system.open_output_stream(part) as f:
         f.write(struct.pack("<II", MAGIC, len(raw)) + raw)
         for r in records:
             frame = to.compress(r)
             f.write(frame)
             places.append((at, len(frame)))
             at += len(frame)
-    os.replace(part, path)
+    system.move(part, path)
     return places
 
 
 def read_archive(path: str):
     """(headers, payload) of each record in order; payload of a revisit is empty."""
-    with open(path, "rb") as f:
+    system, place = located(path)
+    with system.open_input_file(place) as f:
         magic, size = struct.unpack("<II", f.read(8))
         if magic != MAGIC:
             raise ValueError(f"{path}: no leading dictionary frame")
@@ -110,7 +119,8 @@ def read_archive(path: str):
 
 def read_record(path: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
     """One record by its place."""
-    with open(path, "rb") as f:
+    system, place = located(path)
+    with system.open_input_file(place) as f:
         _, size = struct.unpack("<II", f.read(8))
         raw = f.read(size)
         f.seek(offset)
@@ -131,19 +141,20 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Writes the archives; one row each: (path, n_records, n_bytes)."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("html"), F.unhex(F.sha1(payload.cast("binary"))).alias("sha"))
-    rows = rows.join(cut(decisions(pages, least_bytes)), "sha", "left")
-    target = local(folder)
+    # written out, so that few decisions are broadcast by their known size and pages aren't shuffled
+    rows = rows.join(stored(decisions(pages, least_bytes), "decisions"), "sha", "left")
 
     def run(batches):
-        held: list[tuple[int, str, bytes, bytes, int | None]] = []
+        held: list[tuple[int | None, str, bytes, bytes, int | None]] = []
         size = 0
 
         def flush():
-            held.sort(key=lambda r: (r[0], r[3]))
+            held.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[3]))
             made = [record(i, url, body, base64.b32encode(sha).decode(), None if top is None or top == i else top) for i, url, body, sha, top in held]
-            os.makedirs(target, exist_ok=True)
-            name = hashlib.sha1(b"".join(b"%d " % r[0] + r[3] for r in held)).hexdigest()
-            path = f"{target}/{name}.warc.zst"
+            system, target = located(folder)
+            system.create_dir(target, recursive=True)
+            name = hashlib.sha1(b"".join(b"%r " % r[0] + r[3] for r in held)).hexdigest()
+            path = f"{folder}/{name}.warc.zst"
             places = write_archive(path, made)
             return pa.RecordBatch.from_pydict({"path": [path], "n_records": [len(made)], "n_bytes": [places[-1][0] + places[-1][1]]})
 
@@ -151,7 +162,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
             page, url, html, sha, top = (scan.column(b, c).to_pylist() for c in ("page_id", "url", "html", "sha", "top"))
             for i, u, t, s, k in zip(page, url, html, sha, top):
                 body = t.encode("utf-8", "surrogatepass")
-                held.append((i if i is not None else -1, u, body, s, k))
+                held.append((i, u, body, s, k))
                 size += len(body)
             if size > ARCHIVE:
                 yield flush()
@@ -166,8 +177,9 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
 def read(spark: SparkSession, archives: DataFrame, parts: int | None = None) -> DataFrame:
     """Parses archives back: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
 
-    def number(urn: str) -> int:
-        return int(urn.removeprefix("<urn:page:").rstrip(">"))
+    def number(urn: str) -> int | None:
+        n = urn.removeprefix("<urn:page:").rstrip(">")
+        return None if n == "none" else int(n)
 
     def run(batches):
         for b in batches:
@@ -183,7 +195,7 @@ def read(spark: SparkSession, archives: DataFrame, parts: int | None = None) ->
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    spread = archives.select("path").repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    spread = archives.select("path").repartition(parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
     return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 

@@ -111,6 +111,15 @@ def test_jaccard_repeated_rows_and_nothing(spark):
     assert [tuple(r) for r in jaccard.representatives(docs).collect()] == [(1, "q r s t u v", 5, "z")]
 
 
+def test_jaccard_null_doc_id(spark):
+    t = "a b c d e f g h i j k l m n o p q r s t"
+    data = [(None, t), (2, t + " u"), (None, "x y z a b c"), (None, "x y z a b c"), (5, "lone text of some words here"), (-7, t + " u v")]
+    got = sorted(map(tuple, jaccard.near_duplicates(frame(spark, data)).collect()), key=str)
+    assert got == sorted([(None, 16, 2, -7), (2, 17, 2, -7), (-7, 18, 2, -7), (None, 2, 1, None), (None, 2, 1, None), (5, 2, 0, 5)], key=str)
+    kept = sorted(map(tuple, jaccard.representatives(frame(spark, data)).collect()), key=str)
+    assert kept == sorted([x for x in data if x[0] != 2], key=str)
+
+
 def test_prefixes_share_enough():
     rng = np.random.default_rng(1)
     none = np.zeros(0, np.uint32)
@@ -264,6 +273,16 @@ def test_decontamination_of_a_frequent_edited_leak(spark, copies, edited):
     assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {i for i, _ in data if i >= 1000}
 
 
+def test_decontamination_short_items_and_null_ids(spark):
+    rng = random.Random(26)
+    item = prose(rng, 30)
+    bench = spark.createDataFrame([(1, "Paris"), (2, "in the year 1984"), (None, item), (-1, prose(rng, 30)), (3, None)], "item_id long, text string")
+    docs = frame(spark, [(1, "Paris was there in the year 1984"), (2, f"{prose(rng, 9)} {item} {prose(rng, 9)}"), (None, item), (3, None), (4, "")])
+    got = sorted(((r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()), key=str)
+    assert got == [(2, None), (None, None)]
+    assert sorted(r.doc_id for r in decontam.clean(docs, bench).collect()) == [1, 3, 4]
+
+
 def test_smith_waterman_against_table():
     rng = np.random.default_rng(3)
     for _ in range(60):
@@ -486,6 +505,14 @@ def test_warc(spark, tmp_path):
     assert warc.archive(pages.where("false"), str(tmp_path / "e")).count() == 0
 
 
+def test_warc_null_page_id(spark, tmp_path):
+    data = [(None, "u", "<p>x</p>"), (-1, "u", "<p>x</p>"), (None, "u", "<p>y</p>"), (None, "v", "<p>y</p>"), (None, None, None)]
+    got = warc.archive(frame(spark, data, "page_id long, url string, html string"), f"file://{tmp_path}/n").collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=str) == sorted(
+        [(None, 8, "revisit", -1), (-1, 8, "response", None), (None, 8, "response", None), (None, 8, "response", None), (None, 0, "response", None)], key=str
+    )
+
+
 def test_warc_record_alone(tmp_path):
     records = [warc.record(i, "u", b"<p>%d</p>" % i * 50, "S", None) for i in range(300)]
     places = warc.write_archive(str(tmp_path / "a"), records)
