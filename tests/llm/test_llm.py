@@ -870,3 +870,21 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert {i for i, _ in pairs[3]} - {i for i, _ in pairs[4]} == {i for i, _ in pairs[3] if i >= 7000}
     assert {r.doc_id for r in kept[5].collect()} == {i for i, _ in pairs[4]}
     assert corpus_pipeline.run(spark, d).count() == kept[5].count()
+
+
+def test_pipeline_stages_of_nothing(spark, tmp_path):
+    """Empty tables, and rows of which nothing but nulls is known."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    d = str(tmp_path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    for name, rows in (("none", []), ("nulls", [(None, None, None, None, None)] * 3)):
+        docs = spark.createDataFrame(rows, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, d)
+            assert k == 4 or out.columns == docs.columns
+            if k == 0:  # no words: the base rules reject them
+                assert out.count() == 0
+            else:
+                assert out.count() == len(rows)
