@@ -72,9 +72,14 @@ class Normalizer:
         return collapse_spaces(c) if self.spaces else c
 
 
+#: All of Unicode's White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def fold_key(c: Column) -> Column:
-    """Exact-dedup normalization: outer Unicode white space off, lower case, inner spaces kept."""
-    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    """Exact-dedup normalization: outer Unicode white space off, lower case, inner spaces kept. A trim
+    looks at the ends only, where a pattern tries each run of spaces."""
+    return F.lower(F.btrim(c, F.lit(WHITE)))
 
 
 def words(c: Column) -> Column:

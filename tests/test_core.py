@@ -93,6 +93,13 @@ def test_exact_dedup_of_few_copies_doesnt_shuffle_texts(spark):
     assert out.count() == 1990
 
 
+def test_fold_key_trims_unicode_white_space_only_outside(spark):
+    values = [f"{w}{v}{w}{w}" for w in text.WHITE for v in ("Ab  C", "", "é\u3000Ñ")] + ["\x1cA\x1c", "\u200bA", "\ufeffA ", "", None, " \t ", "İ "]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v string")
+    old = F.lower(F.regexp_replace("v", r"(?U)^\s+|\s+$", ""))
+    assert df.where(~old.eqNullSafe(text.fold_key(F.col("v")))).count() == 0
+
+
 # --- text ---
 
 
