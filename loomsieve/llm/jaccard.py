@@ -10,7 +10,10 @@ shingles is at least ``percent`` / 100. The join is exact:
    common. Prefix tokens are the join key. Prefixes are extended so that sets that can
    link share a tenth of their tokens there, not just one; pairs with fewer shared
    tokens go. Equal sets travel as one class, so copies never meet each other. Size
-   and position bounds prune pairs in the reducer.
+   and position bounds prune pairs in the reducer. Hot tokens of neighbouring ranks, as
+   those of one family are, share a reducer, which counts the pairs of large families by
+   products of matrices; all pairs leave it in pieces, so its memory doesn't grow with
+   their number.
 3. Candidate sets are fetched once a class and routed by pairs of blocks (documents
    with one MinHash value, split so that a block stays small). There, pairs must
    also share prefix tokens under further orders; the rest is verified in full.
@@ -28,6 +31,7 @@ a pair of tokens. Columns besides ``doc_id`` and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +45,9 @@ from loomsieve.session import cut, discard, stored
 U = np.uint64
 MAX_HOT = 2_000_000
 BLOCK = 256
+#: Hot tokens of so many neighbouring ranks share a bucket; pairs and matrix cells that are handled at once.
+BAND = 128
+AT_ONCE = 250_000
 
 
 @dataclass(frozen=True)
@@ -148,7 +155,7 @@ def hot_tokens(docs: DataFrame, cfg: JaccardConfig, parts: int) -> tuple[np.ndar
         for _, s in fresh_sets(batches, cfg.k):
             held.append((s >> U(32)).astype(np.uint32))
             size += len(s)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield flush()
                 held.clear()
                 size = 0
@@ -175,6 +182,70 @@ def hot_tokens(docs: DataFrame, cfg: JaccardConfig, parts: int) -> tuple[np.ndar
     return keys[by_key], rank[by_key]
 
 
+def meetings(tok: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, least shared tokens, shared tokens here) of pairs of classes (a < b) in one bucket, in
+    pieces of bounded size that may name a pair again: their sums count.
+
+    Pairs are listed token by token; where the tokens of a family are shared by many of its sets, a
+    product of matrices counts them for all tokens at once."""
+    by = np.lexsort((cls, n, tok))
+    tok, cls, n, pos = tok[by], cls[by], n[by].astype(np.int64), pos[by].astype(np.int64)
+    own = np.ones(len(tok), dtype=bool)
+    own[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
+    tok, cls, n, pos = tok[own], cls[own], n[own], pos[own]
+    # classes by number, small sets first
+    names, first, node = np.unique(cls, return_index=True, return_inverse=True)
+    up = np.lexsort((names, n[first]))
+    place = np.empty(len(up), dtype=np.int64)
+    place[up] = np.arange(len(up))
+    names, sizes, node = names[up], n[first][up], place[node]
+
+    def named(i: np.ndarray, j: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+        return np.minimum(names[i], names[j]), np.maximum(names[i], names[j]), least_shared(sizes[i]), times.astype(np.int64)
+
+    _, token, crowd = np.unique(tok, return_inverse=True, return_counts=True)
+    many = crowd[token] >= 2 * BLOCK
+    if many.any():
+        who, row = np.unique(node[many], return_inverse=True)
+        what, col = np.unique(token[many], return_inverse=True)
+        if len(who) ** 2 * len(what) < 500 * int((crowd[what] ** 2).sum()):
+            far = np.searchsorted(sizes[who], sizes[who] * 100 // percent, "right")
+            step = max(1, min(BLOCK, 8 * AT_ONCE // len(who)))
+            wide = max(1, 64 * AT_ONCE // len(who))
+            cells = np.argsort(col, kind="stable")
+            for k in range(0, len(what), wide):
+                some = cells[np.searchsorted(col[cells], k) : np.searchsorted(col[cells], k + wide)]
+                held = np.zeros((len(who), min(wide, len(what) - k)), dtype=np.float32)
+                held[row[some], col[some] - k] = 1
+                for lo in range(0, len(who), step):
+                    hi = min(lo + step, len(who))
+                    both = held[lo:hi] @ held[lo : far[hi - 1]].T
+                    both[np.arange(lo, far[hi - 1]) <= np.arange(lo, hi)[:, None]] = 0
+                    both[np.arange(lo, far[hi - 1]) >= far[lo:hi, None]] = 0
+                    i, j = np.nonzero(both)
+                    for at in range(0, len(i), AT_ONCE):
+                        x, y = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
+                        yield named(who[lo + x], who[lo + y], both[x, y])
+            tok, node, n, pos = tok[~many], node[~many], n[~many], pos[~many]
+    key = (tok.astype(np.int64) << 31) + n
+    count = np.searchsorted(key, (tok.astype(np.int64) << 31) + n * 100 // percent, "right") - np.arange(len(tok)) - 1
+    left = np.flatnonzero(count > 0)
+    ends = np.cumsum(count[left])
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        some = left[at:to]
+        i = np.repeat(some, count[some])
+        j = scan.ranges(some + 1, count[some])
+        at = to
+        best = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+        ok = (100 + percent) * best >= percent * (n[i] + n[j])
+        i, j = node[i[ok]], node[j[ok]]
+        pairs, times = np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j), return_counts=True)
+        if len(pairs):
+            yield named(pairs // len(names), pairs % len(names), times)
+
+
 def candidates(docs: DataFrame, cfg: JaccardConfig, hot, parts: int) -> DataFrame:
     """Distinct pairs of classes (a < b) that share a prefix token of the first order."""
     dtype = [("tok", "<u4"), ("cls", "<i8"), ("n", "<u4"), ("pos", "<u4")]
@@ -188,7 +259,11 @@ def candidates(docs: DataFrame, cfg: JaccardConfig, hot, parts: int) -> DataFram
         def flush():
             lens = np.array([len(p) for _, p, _ in held])
             s = np.concatenate([p for _, p, _ in held])
-            bucket = ((s >> U(32)) * U(parts)) >> U(32)
+            k32 = (s >> U(32)).astype(np.uint32)
+            bucket = (k32.astype(np.uint64) * U(parts) >> U(32)).astype(np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, k32), len(keys) - 1)
+                bucket = np.where(keys[at] == k32, parts + rank[at] // BAND, bucket)
             by = np.argsort(bucket, kind="stable")
             cols = [
                 (s & U(0xFFFFFFFF)).astype("<u4")[by],
@@ -196,10 +271,10 @@ def candidates(docs: DataFrame, cfg: JaccardConfig, hot, parts: int) -> DataFram
                 np.repeat(np.array([n for _, _, n in held], dtype="<u4"), lens)[by],
                 scan.ranges(np.zeros(len(lens), dtype=np.int64), lens).astype("<u4")[by],
             ]
-            cuts = np.searchsorted(bucket[by], np.arange(parts + 1, dtype=np.uint64))
-            on = [b for b in range(parts) if cuts[b] < cuts[b + 1]]
-            blobs = [b"".join(c[cuts[b] : cuts[b + 1]].tobytes() for c in cols) for b in on]
-            return pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
+            bucket = bucket[by]
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            blobs = [b"".join(c[lo:hi].tobytes() for c in cols) for lo, hi in zip(cuts, np.append(cuts[1:], len(bucket)))]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
         for fp, s in fresh_sets(batches, cfg.k):
             p = prefix(s, 0, keys, rank, pct)
@@ -212,43 +287,16 @@ def candidates(docs: DataFrame, cfg: JaccardConfig, hot, parts: int) -> DataFram
         if held:
             yield flush()
 
-    def pair(table: pa.Table) -> pa.Table:
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[], [], [], []]
-        for raw in table.column("rows").to_pylist():
+        for raw in (r for t in batches for r in scan.column(t, "rows").to_pylist()):
             m, at = len(raw) // 20, 0
             for c, (_, kind) in zip(cols, dtype):
                 width = np.dtype(kind).itemsize
                 c.append(np.frombuffer(raw, dtype=kind, count=m, offset=at))
                 at += m * width
-        tok, cls, n, pos = [np.concatenate(c) for c in cols]
-        by = np.lexsort((cls, n, tok))
-        tok, cls, n, pos = tok[by], cls[by], n[by].astype(np.int64), pos[by].astype(np.int64)
-        own = np.ones(len(tok), dtype=bool)
-        own[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
-        tok, cls, n, pos = tok[own], cls[own], n[own], pos[own]
-        key = (tok.astype(np.int64) << 31) + n
-        most = np.searchsorted(key, (tok.astype(np.int64) << 31) + n * 100 // pct, "right")
-        count = most - np.arange(len(tok)) - 1
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        left = np.flatnonzero(count > 0)
-        ends = np.cumsum(count[left])
-        at = 0
-        while at < len(left):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, "right")))
-            some = left[at:to]
-            i = np.repeat(some, count[some])
-            j = scan.ranges(some + 1, count[some])
-            best = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-            ok = (100 + pct) * best >= pct * (n[i] + n[j])
-            i, j = i[ok], j[ok]
-            differ = cls[i] != cls[j]
-            a, b, need = cls[i[differ]], cls[j[differ]], least_shared(n[i[differ]])
-            rows, first, times = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0, return_index=True, return_counts=True)
-            found.append((rows, need[first], times))
-            at = to
-        rows = np.concatenate([f[0] for f in found]) if found else np.zeros((0, 2), np.int64)
-        need, times = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (1, 2))
-        return pa.table({"a": rows[:, 0], "b": rows[:, 1], "need": need, "times": times})
+        for a, b, need, times in meetings(*(np.concatenate(c) for c in cols), pct):
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "need": need, "times": times})
 
     blobs = docs.select("text").mapInArrow(emit, "bucket int, rows binary")
     met = blobs.groupBy("bucket").applyInArrow(pair, "a long, b long, need long, times long")
@@ -296,12 +344,14 @@ def wanted_bits(pairs: DataFrame) -> Wanted:
     wide = 1 << 18
 
     def pack(batches):
-        bits = np.zeros(size, dtype=bool)
+        bits = np.zeros(size // 8, dtype=np.uint8)
         for b in batches:
             for c in ("a", "b"):
-                bits[(scan.mix(scan.column(b, c).to_numpy().view(np.uint64)) % U(size)).astype(np.int64)] = True
-        on = np.flatnonzero(bits.reshape(-1, wide).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array([np.packbits(bits[i * wide : (i + 1) * wide], bitorder="little").tobytes() for i in on], pa.binary())], names=["slot", "map"])
+                at = (np.unique(scan.mix(scan.column(b, c).to_numpy().view(np.uint64))) % U(size)).astype(np.int64)
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        maps = bits.reshape(-1, wide // 8)
+        for i in np.flatnonzero(maps.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([maps[i].tobytes()], pa.binary())], names=["slot", "map"])
 
     def merge(table: pa.Table) -> pa.Table:
         m = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in table.column("map").to_pylist()])

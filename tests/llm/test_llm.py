@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -120,6 +121,42 @@ def test_jaccard_null_doc_id(spark):
     assert kept == sorted([x for x in data if x[0] != 2], key=str)
 
 
+def test_jaccard_of_a_family(spark):
+    """Several hundred different near copies of one text, more than are listed pair by pair."""
+    rng = random.Random(8)
+    base = prose(rng, 120).split(" ")
+    data = []
+    for k in range(700):
+        t = list(base)
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = f"edit{rng.randrange(10**6)}"
+        data.append((k, " ".join(t[: 120 - rng.randrange(12)])))
+    assert sorted(map(tuple, jaccard.near_duplicates(frame(spark, data)).collect())) == brute_jaccard(data)
+
+
+@pytest.mark.parametrize("sets, tokens", [(2500, 60), (2500, 1), (400, 200)])
+def test_meetings_in_bounded_memory(sets, tokens):
+    rng = np.random.default_rng(3)
+    has = rng.random((sets, tokens)) < 0.9
+    size = rng.integers(200, 330, sets)
+    cls, tok = np.nonzero(has)
+    # places so early that no pair is ruled out by them
+    args = tok.astype(np.uint32), cls * 7 - 50, size[cls].astype(np.uint32), np.zeros(len(cls), np.uint32)
+    total = np.zeros((sets, sets), np.int64)
+    tracemalloc.start()
+    for a, b, need, times in jaccard.meetings(*args, 80):
+        assert 0 < len(a) <= 250_000 + sets and (a < b).all()
+        i, j = (a + 50) // 7, (b + 50) // 7
+        assert (need == 1 + np.minimum(size[i], size[j]) // 10).all()
+        np.add.at(total, (i, j), times)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.triu(has.astype(np.int64) @ has.T.astype(np.int64), 1)
+    near = np.maximum(size[:, None], size) <= np.minimum(size[:, None], size) * 100 // 80
+    assert (total == want * near).all()
+    assert peak < 120e6
+
+
 def test_prefixes_share_enough():
     rng = np.random.default_rng(1)
     none = np.zeros(0, np.uint32)
