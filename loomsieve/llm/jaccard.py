@@ -336,6 +336,10 @@ class Wanted:
         i = scan.mix_int(x) % self.size
         return bool(self.bits[i >> 3] >> (i & 7) & 1)
 
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        i = (scan.mix(x.view(np.uint64)) % U(self.size)).astype(np.int64)
+        return (self.bits[i >> 3] >> (i & 7).astype(np.uint8) & 1) > 0
+
 
 def wanted_bits(pairs: DataFrame) -> Wanted:
     """A bit map over the classes of all pairs, 32 bits a pair and 32 MB at most. It only spares traffic:

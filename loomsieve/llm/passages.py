@@ -12,6 +12,10 @@
    seed of ``crowd`` documents in one map task is hot: the task sends only its smallest
    document to the seed's reducer, the others meet the owner in a join, which adaptive
    execution splits.
+   Two documents can share a passage of whose seeds smaller documents, which share less,
+   are the owners. So long seeds of three documents or more are looked up once more: all
+   grams of ``least`` words that hold one get owners of their own, who then hold the whole
+   gram. Whoever repeats ``least`` words exactly thus meets a document that holds them.
 3. Matches of one (document, owner) are merged along diagonals and chained: the best
    chain ending at a segment adds its length to the best earlier chain that ends at most
    ``reach`` words before it in both texts, less a gap cost linear in the distance, found
@@ -25,9 +29,10 @@
    the same two documents go.
 
 All texts count in full and there is no cap on seeds or partners; the result doesn't
-depend on how the input is split. A passage is found through its seeds' owners only:
-where every seed of it also stands in smaller documents that share less than a passage,
-it is missed (the README has figures). A document of which several rows exist (repeated
+depend on how the input is split. Every run of ``least`` words that a smaller document
+holds is found. An edited passage without such a run is found through its seeds' owners
+only: where every seed of it also stands in smaller documents that share less than a
+passage, it is missed (the README has figures). A document of which several rows exist (repeated
 doc_id) is one document; its rows are taken as one text each and the places refer to the
 row's text. Rows without doc_id can't be named: they are neither compared nor cut. Null
 and empty texts have no seeds. Ties go to the smaller doc_id and the earlier place.
@@ -43,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomsieve.llm import scan
+from loomsieve.llm import jaccard, scan
 from loomsieve.session import stored
 
 U = np.uint64
@@ -70,6 +75,13 @@ def long_grams(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return scan.mix((run[at + k] - run[at]) * scan.powers(scan.INVERSE, len(h) + 1)[at])
 
 
+def long_seeds(h: np.ndarray, first: np.ndarray, cfg: PassageConfig) -> tuple[np.ndarray, ...]:
+    """(hash and word index of every long gram, bounds by text, indices of the minimizers)."""
+    at, bounds = scan.windows(first, cfg.long)
+    whole = long_grams(h, at, cfg.long)
+    return whole, at, bounds, minimizers(whole, bounds, cfg.least - cfg.long + 1)
+
+
 def minimizers(g: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
     """Indices of the smallest gram of each window of grams within a text; the leftmost of equal ones.
     Texts with fewer grams than a window give their smallest gram."""
@@ -98,9 +110,7 @@ def seeds(h: np.ndarray, first: np.ndarray, cfg: PassageConfig) -> tuple[np.ndar
     on = (g >> U(1)) % U(cfg.every) == 0
     at, g = at[on], g[on] & ~U(1)
     rest = cfg.least - cfg.long
-    all_, bounds = scan.windows(first, cfg.long)
-    whole = long_grams(h, all_, cfg.long)
-    far = minimizers(whole, bounds, rest + 1)
+    whole, all_, bounds, far = long_seeds(h, first, cfg)
     # within runs of one or a few words, where shorter runs elsewhere own all other seeds: every passage
     over = bounds[np.searchsorted(bounds, np.arange(len(whole)), "right")] - rest
     again = np.zeros(len(whole), dtype=bool)
@@ -151,6 +161,19 @@ def met(g: np.ndarray, x: np.ndarray, y: np.ndarray, cfg: PassageConfig) -> tupl
     return np.concatenate([np.arange(len(g)), far]), np.concatenate([x, x[far] + step]), np.concatenate([y, y[far] + step])
 
 
+def whole_grams(h: np.ndarray, first: np.ndarray, wanted, cfg: PassageConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash) of all grams of ``least`` words that hold a wanted long seed."""
+    whole, at, _, far = long_seeds(h, first, cfg)
+    i = at[far[wanted.holds(scan.signed(whole[far] | U(1)))]]
+    text = np.searchsorted(first, i, "right") - 1
+    lo, hi = np.maximum(first[text], i - (cfg.least - cfg.long)), np.minimum(i, first[text + 1] - cfg.least)
+    on = np.zeros(len(h) + 1, dtype=np.int64)
+    np.add.at(on, lo[lo <= hi], 1)
+    np.add.at(on, hi[lo <= hi] + 1, -1)
+    start = np.flatnonzero(np.cumsum(on) > 0)
+    return start, long_grams(h, start, cfg.least)
+
+
 def bounds_of(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of runs of equal rows of sorted columns."""
     n = len(cols[0])
@@ -244,7 +267,13 @@ def seed_matches(docs: DataFrame, cfg: PassageConfig, parts: int) -> DataFrame:
         last = at + np.minimum(size, ends[np.searchsorted(cuts, at, "right") - 1] - at) if len(hot) else at
         p = p.astype("<u4")
         lead = {"doc": pa.nulls(len(hot), pa.int64()), "owner": d[at], "xs": pa.nulls(len(hot), pa.binary()), "ys": pa.array([p[a:b].tobytes() for a, b in zip(at, last)], pa.binary())}
-        return pa.concat_tables([pa.table({"seed": pa.nulls(len(found["doc"]), pa.int64())} | found), pa.table({"seed": scan.signed(hot)} | lead)])
+        # long seeds of three documents or more: two of them can share a passage that the owner doesn't hold
+        held_by = g[cuts]
+        far = np.concatenate([held_by[2:][held_by[2:] == held_by[:-2]], hot])
+        far = np.unique(far[(far & U(1)) > 0])
+        none = pa.nulls(len(far), pa.int64())
+        open_ = {"doc": none, "owner": none, "xs": pa.nulls(len(far), pa.binary()), "ys": pa.nulls(len(far), pa.binary())}
+        return pa.concat_tables([pa.table({"seed": pa.nulls(len(found["doc"]), pa.int64())} | found), pa.table({"seed": scan.signed(hot)} | lead), pa.table({"seed": scan.signed(far)} | open_)])
 
     def pair(batches):
         for b in batches:
@@ -264,13 +293,56 @@ def seed_matches(docs: DataFrame, cfg: PassageConfig, parts: int) -> DataFrame:
             i, px, py = met(seed[row[x]], p[x], p[y], cfg)
             yield pa.RecordBatch.from_pydict(rows_of(*(scan.column(b, c).to_numpy()[row[x][i]] for c in ("doc", "owner")), px, py))
 
+    def emit_whole(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            g, d, p = (np.concatenate([h[i] for h in held]) for i in range(3))
+            by = np.argsort(g)
+            cols = g[by].astype("<u8"), d[by].astype("<i8"), p[by].astype("<u4")
+            cuts = np.searchsorted((cols[0] >> U(32)) * U(parts) >> U(32), np.arange(parts + 1, dtype=np.uint64))
+            on = [b for b in range(parts) if cuts[b] < cuts[b + 1]]
+            return pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array([b"".join(c[cuts[b] : cuts[b + 1]].tobytes() for c in cols) for b in on], pa.binary())], names=["bucket", "rows"])
+
+        for c in scan.chunks(batches):
+            w = scan.Words(scan.column(c, "text"))
+            at, g = whole_grams(w.hashes(fold_case=True), w.first, wanted.value, cfg)
+            d = np.searchsorted(w.first, at, "right") - 1
+            held.append((g, scan.column(c, "doc_id").to_numpy()[d], at - w.first[d]))
+            size += len(g)
+            if size > 1_000_000:
+                yield flush()
+                held.clear()
+                size = 0
+        if size:
+            yield flush()
+
+    def match_whole(table: pa.Table) -> pa.Table:
+        held = [], [], []
+        for raw in table.column("rows").to_pylist():
+            m = len(raw) // 20
+            for out, t, at in zip(held, ("<u8", "<i8", "<u4"), (0, 8 * m, 16 * m)):
+                out.append(np.frombuffer(raw, t, m, at))
+        g, d, p = map(np.concatenate, held)
+        by = np.lexsort((p, d, g))
+        g, d, p = g[by], d[by], p[by].astype(np.int64)
+        x, y = star(g, d, p)
+        # short grams at both ends and, for segments() to join them, between
+        steps = np.unique(np.append(np.arange(0, cfg.least - cfg.k, cfg.long), cfg.least - cfg.k))
+        i, s = np.tile(np.arange(len(x)), len(steps)), np.repeat(steps, len(x))
+        return pa.table(rows_of(d[x][i], d[y][i], p[x][i] + s, p[y][i] + s))
+
     named = docs.select("doc_id", "text")
     blobs = named.mapInArrow(emit, "bucket int, kind int, rows binary")
     found = stored(blobs.groupBy("bucket").applyInArrow(match, "seed long, doc long, owner long, xs binary, ys binary"), "matches")
-    owners = found.where("seed is not null").select("seed", "owner", "ys")
+    owners = found.where("seed is not null and owner is not null").select("seed", "owner", "ys")
     later = named.mapInArrow(emit_later, "seed long, doc long, xs binary").join(owners, "seed").where("doc <> owner")
     pairs = "doc long, owner long, xs binary, ys binary"
-    return found.where("seed is null").select("doc", "owner", "xs", "ys").union(later.select("seed", "doc", "owner", "xs", "ys").mapInArrow(pair, pairs))
+    open_ = found.where("seed is not null and owner is null").select(F.col("seed").alias("a"), F.col("seed").alias("b"))
+    wanted = docs.sparkSession.sparkContext.broadcast(jaccard.wanted_bits(open_))
+    exact = named.mapInArrow(emit_whole, "bucket int, rows binary").groupBy("bucket").applyInArrow(match_whole, pairs)
+    return found.where("seed is null").select("doc", "owner", "xs", "ys").union(later.select("seed", "doc", "owner", "xs", "ys").mapInArrow(pair, pairs)).union(exact)
 
 
 def segments(x: np.ndarray, y: np.ndarray, k: int, reach: int) -> np.ndarray:

@@ -476,6 +476,23 @@ def test_passages_with_own_words_between(spark, one, two, between):
     assert " ".join(data[1][1].split()[30 + one : 30 + one + between]) in left[2]
 
 
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_passages_whose_seeds_have_other_owners(spark, crowd):
+    """Smaller documents hold all seeds of the passage, but less than a passage each."""
+    rng = random.Random(23)
+    own = lambda n: " ".join(f"own{rng.randrange(10**9)}" for _ in range(n))
+    data, want = [], set()
+    for k in range(20):
+        t = prose(rng, 50 + k, 10**6).split(" ")
+        cuts = [t[i : i + 40] for i in range(0, len(t) - 29, 10)]
+        data += [(100 * k + i, f"{own(20)} {' '.join(c)} {own(30)}") for i, c in enumerate(cuts)]
+        data += [(100 * k + 50 + i, f"{own(30 + i)} {' '.join(t)} {own(20)}") for i in range(3)]
+        want |= {(100 * k + 50 + i, 100 * k + 50, 30 + i, 80 + i + k) for i in (1, 2)}
+    found = passages.passages(frame(spark, data), passages.PassageConfig(crowd=crowd)).collect()
+    assert want <= {(r.doc_id, r.source_doc_id, r.first_word, r.end_word) for r in found}
+    assert all(r.doc_id % 100 > 50 and r.source_doc_id % 100 >= 50 for r in found)
+
+
 def test_passages_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert passages.passages(empty).count() == 0
