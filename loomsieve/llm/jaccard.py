@@ -341,28 +341,30 @@ class Wanted:
         return (self.bits[i >> 3] >> (i & 7).astype(np.uint8) & 1) > 0
 
 
+def bit_maps(batches, size: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """(slot, map): the stretches of ``wide`` bits, of ``size`` in all, in which classes of the pairs fall."""
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    for b in batches:
+        for c in ("a", "b"):
+            at = (np.unique(scan.mix(scan.column(b, c).to_numpy().view(np.uint64))) % U(size)).astype(np.int64)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    maps = bits.reshape(-1, wide // 8)
+    for i in np.flatnonzero(maps.any(axis=1)):
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([maps[i].tobytes()], pa.binary())], names=["slot", "map"])
+
+
 def wanted_bits(pairs: DataFrame) -> Wanted:
     """A bit map over the classes of all pairs, 32 bits a pair and 32 MB at most. It only spares traffic:
     rows that pass by chance are dropped by the join that follows."""
     size = 1 << min(28, max(20, (32 * pairs.count()).bit_length()))
     wide = 1 << 18
 
-    def pack(batches):
-        bits = np.zeros(size // 8, dtype=np.uint8)
-        for b in batches:
-            for c in ("a", "b"):
-                at = (np.unique(scan.mix(scan.column(b, c).to_numpy().view(np.uint64))) % U(size)).astype(np.int64)
-                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        maps = bits.reshape(-1, wide // 8)
-        for i in np.flatnonzero(maps.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([maps[i].tobytes()], pa.binary())], names=["slot", "map"])
-
     def merge(table: pa.Table) -> pa.Table:
         m = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in table.column("map").to_pylist()])
         return pa.table({"slot": table.column("slot")[:1], "map": pa.array([m.tobytes()], pa.binary())})
 
     out = np.zeros(size // 8, dtype=np.uint8)
-    for slot, packed in pairs.mapInArrow(pack, "slot int, map binary").groupBy("slot").applyInArrow(merge, "slot int, map binary").collect():
+    for slot, packed in pairs.mapInArrow(lambda batches: bit_maps(batches, size, wide), "slot int, map binary").groupBy("slot").applyInArrow(merge, "slot int, map binary").collect():
         out[slot * wide // 8 : (slot + 1) * wide // 8] = np.frombuffer(packed, dtype=np.uint8)
     return Wanted(out, size)
 

@@ -157,6 +157,24 @@ def test_meetings_in_bounded_memory(sets, tokens):
     assert peak < 120e6
 
 
+def test_wanted_map_is_made_of_bits():
+    """The largest map, that of the pairs of a large table: 32 MB, not a byte for each bit."""
+    size, wide = 1 << 28, 1 << 18
+    ids = np.random.default_rng(6).integers(-(1 << 63), 1 << 63, 20_000)
+    batches = [pa.RecordBatch.from_pydict({"a": ids[k : k + 5000], "b": ids[k : k + 5000][::-1]}) for k in range(0, 20_000, 5000)]
+    tracemalloc.start()
+    whole = np.zeros(size // 8, np.uint8)
+    for b in jaccard.bit_maps(batches, size, wide):
+        for slot, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            whole[slot * wide // 8 : (slot + 1) * wide // 8] = np.frombuffer(m, np.uint8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    wanted = jaccard.Wanted(whole, size)
+    assert wanted.holds(ids).all() and all(x in wanted for x in ids[:100].tolist())
+    assert int(np.unpackbits(whole).sum()) <= len(ids)
+    assert peak < 100e6
+
+
 def test_prefixes_share_enough():
     rng = np.random.default_rng(1)
     none = np.zeros(0, np.uint32)
