@@ -226,6 +226,48 @@ def test_index(spark):
         fuzzy.FuzzyIndex(cfg).find(probe)
 
 
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [90.0, 80.0, 62.5, 40.0])
+def test_blocked_edit_matches_finds_all_pairs(spark, least):
+    import random
+
+    random.seed(5)
+    base = ["".join(random.choice("abé") for _ in range(n)) for n in (1, 2, 5, 9, 10, 18, 19, 20, 31, 44)]
+    data = [(0, "", 1), (1, "", 1), (2, None, 1), (3, "abab", None), (4, "abab", None)]
+    for i in range(5, 150):
+        t = list(random.choice(base))
+        for _ in range(random.randrange(1 + len(t) // 4)):
+            at = random.randrange(len(t))
+            t[at : at + random.randrange(2)] = random.choice(("", "a", "B", "é"))
+            t = t or ["a"]
+        data.append((i, "".join(t), random.randrange(2)))
+    df = rows(spark, data, "row_id long, v string, g int")
+    full = [r for r in data if r[1] and r[2] is not None]
+    near = lambda a, b: round((1 - edit(a, b) / max(len(a), len(b))) * 100, 4)
+    want = {(i, j, near(a, b)) for i, a, g in full for j, b, h in full if i < j and g == h and a[0].lower() == b[0].lower() and near(a, b) >= least}
+    got = [tuple(r) for r in fuzzy.blocked_edit_matches(df, "v", least, by=("g",)).collect()]
+    assert len(got) == len(want) > 20 and set(got) == want
+
+
+def test_blocked_edit_matches_of_a_large_block(spark):
+    """60,000 names of one block, 1.8 billion pairs, and 20 empty ones."""
+    import time
+
+    began = time.time()
+    df = spark.range(60_020).selectExpr("id row_id", "if(id < 60000, concat('Customer#', lpad(id * 7919, 9, '0')), '') v")
+    out = fuzzy.blocked_edit_matches(df, "v").where("ratio >= 90").count()
+    assert out == df.where("v <> ''").selectExpr("explode(transform(sequence(1, 18), k -> overlay(v placing '*' from k for 1))) k").groupBy("k").count().selectExpr("sum(count * (count - 1) / 2)").collect()[0][0]
+    assert time.time() - began < 60
+
+
 # --- quality and language ---
 
 GOOD = "This is a well written paragraph about gardens. It has several sentences, and each of them says something new about plants and soil."
