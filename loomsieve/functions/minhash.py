@@ -75,9 +75,9 @@ def signature_of(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def signature(c: Column, num_hashes: int = 128, shingle: int = 3, by_word: bool = False) -> Column:
-    """array<bigint> of ``num_hashes`` minima. Null stays null; an empty text gives zeros."""
+    """array<int> of ``num_hashes`` minima. Null stays null; an empty text gives zeros."""
 
-    @F.pandas_udf(T.ArrayType(T.LongType(), False))
+    @F.pandas_udf(T.ArrayType(T.IntegerType(), False))
     def sign(texts: pd.Series) -> pd.Series:
         a, b = coefficients(num_hashes)
         known: dict[str, tuple[int, int]] = {}
@@ -86,8 +86,8 @@ def signature(c: Column, num_hashes: int = 128, shingle: int = 3, by_word: bool
             if text is None:
                 return None
             if not text:
-                return np.zeros(num_hashes, dtype=np.int64)
-            return signature_of(word_shingles(text, shingle, known) if by_word else char_shingles(text, shingle), a, b)
+                return np.zeros(num_hashes, dtype=np.int32)
+            return signature_of(word_shingles(text, shingle, known) if by_word else char_shingles(text, shingle), a, b).astype(np.int32)
 
         return texts.map(one)
 

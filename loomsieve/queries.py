@@ -13,7 +13,7 @@ from loomsieve.functions.minhash import PRIME, FOLD, candidate_probability, coef
 from loomsieve.operators import exact, fuzzy, lsh
 from loomsieve.plans import pipeline, report
 from loomsieve.plans.config import Exact, Filters, Fuzzy, Io, PipelineConfig
-from loomsieve.session import cut
+from loomsieve.session import stored
 from loomsieve.sources import readers
 from loomsieve.streaming.incremental import unseen
 
@@ -274,7 +274,7 @@ def fuzzy_char_edges(spark: SparkSession, d: str) -> DataFrame:
     """Character shingles with a short signature."""
     cfg = fuzzy.FuzzyConfig(num_hashes=16, bands=4, rows=4, threshold=0.7)
     signed = fuzzy.sign(table(spark, d, "documents"), cfg, "doc_id")
-    reps = cut(signed.groupBy("sig").agg(F.min("row_id").alias("row_id")))
+    reps = stored(signed.groupBy("sig").agg(F.min("row_id").alias("row_id")), "representatives")
     return lsh.edges(reps, 4, 4, 0.7).select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 

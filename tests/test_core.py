@@ -193,6 +193,25 @@ def test_fuzzy_many_copies(spark):
     assert ids(fuzzy.fuzzy_dedup(df, fuzzy.FuzzyConfig())) == [0]
 
 
+def test_edges_of_hot_bands_are_whole_and_stored_nowhere(spark, monkeypatch):
+    """Short signatures: each pair once, at whatever chunk size, and no pair in a shuffle."""
+    import random
+
+    random.seed(4)
+    sigs = [[random.randrange(2) for _ in range(6)] + [7, 7] for _ in range(150)]
+    df = rows(spark, list(enumerate(sigs)), "row_id long, sig array<int>")
+    same = lambda x, y: sum(p == q for p, q in zip(x, y))
+    band = lambda x, y: any(x[k : k + 2] == y[k : k + 2] for k in (0, 2, 4, 6))
+    want = sorted((i, j, same(x, y) / 8) for i, x in enumerate(sigs) for j, y in enumerate(sigs) if i < j and band(x, y) and same(x, y) >= 6)
+    for chunk in (7, 40, 2000):
+        monkeypatch.setattr(lsh, "CHUNK", chunk)
+        out = lsh.edges(df, 4, 2, 0.7)
+        assert sorted(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(i" not in plan
+    assert lsh.edges(df.where("false"), 4, 2, 0.7).count() == 0
+
+
 def test_fuzzy_against_sequential_greedy(spark):
     import random
 
