@@ -95,16 +95,21 @@ class LanguageConfig:
 
 def looks_like_code(c: Column) -> Column:
     """At least three of the marks occur anywhere in the lower-cased text, inside words too."""
-    low = F.lower(c)
+    return _marked(F.lower(c))
+
+
+def _marked(low: Column) -> Column:
     hits = sum((low.contains(m).cast("int") for m in CODE_MARKS), F.lit(0))
     return F.coalesce(hits >= CODE_LEAST, F.lit(False))
 
 
-def with_language(df: DataFrame, field: str) -> DataFrame:
-    """Adds detected_lang (null: none) and confidence."""
+def with_language(df: DataFrame, field: str, tokens: str | None = None) -> DataFrame:
+    """Adds detected_lang (null: none) and confidence. ``tokens`` names a column of the text's words."""
     c = F.coalesce(F.col(field), F.lit(""))
     count = lambda cls: F.char_length(F.regexp_replace(c, f"[^{cls}]", ""))
-    out = df.withColumns({"__letters": count(r"\p{L}"), "__latin": count(r"\p{IsLatin}")}).select("*", F.explode(F.array(words(c))).alias("__w"))
+    out = df.withColumns({"__letters": count(r"\p{L}"), "__latin": count(r"\p{IsLatin}")})
+    known = F.array(*[F.lit(x) for x in sorted({x for v in FUNCTION_WORDS.values() for x in v.split()})])  # languages look at these few only
+    out = out.select("*", F.explode(F.array(F.array_intersect(F.col(tokens) if tokens else words(c), known))).alias("__w"))
     plain = F.col("__latin") >= F.col("__letters")  # saves six passes over a wholly Latin text
     out = out.withColumns({f"__{k}": F.when(plain, 0).otherwise(count(java)) for k, (java, _) in SCRIPTS.items()})
     kana = F.when(F.col("__jpn") > 0, F.col("__jpn") + F.col("__cmn")).otherwise(0)
@@ -125,10 +130,11 @@ def with_language(df: DataFrame, field: str) -> DataFrame:
     ).drop("__letters", "__latin", "__w", "__scripts", "__s", "__r", *[f"__{k}" for k in SCRIPTS])
 
 
-def with_acceptance(df: DataFrame, field: str, cfg: LanguageConfig) -> DataFrame:
+def with_acceptance(df: DataFrame, field: str, cfg: LanguageConfig, tokens: str | None = None) -> DataFrame:
     """Adds short, is_code, detected_lang, confidence and accepted. A null text counts as empty."""
     c = F.coalesce(F.col(field), F.lit(""))
-    out = with_language(df, field).withColumns({"short": F.octet_length(c) < cfg.min_text_length, "is_code": looks_like_code(c)})
+    out = with_language(df, field, tokens).select("*", F.explode(F.array(F.lower(c))).alias("__low"))  # lowered once, not for each mark
+    out = out.withColumns({"short": F.octet_length(c) < cfg.min_text_length, "is_code": _marked(F.col("__low"))}).drop("__low")
     known = F.coalesce(F.col("detected_lang").isin(cfg.allowed()) & (F.col("confidence") >= cfg.confidence_threshold), F.lit(False))
     return out.withColumn("accepted", F.col("short") | F.col("is_code") | known)
 

@@ -83,12 +83,9 @@ def fold_key(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Lower-case words without outer punctuation; empty ones are left out."""
-    trimmed = F.transform(
-        F.split(c, r"(?U)\s+"),
-        lambda x: F.lower(F.regexp_replace(x, f"^[^{ALNUM}]+|[^{ALNUM}]+$", "")),
-    )
-    return F.filter(trimmed, lambda x: x != "")
+    """Lower-case words without outer punctuation; empty ones are left out. One pass finds each run of
+    non-spaces from its first to its last letter or digit."""
+    return F.transform(F.regexp_extract_all(c, F.lit(rf"(?U)[{ALNUM}](?:\S*[{ALNUM}])?"), F.lit(0)), F.lower)
 
 
 def length_ok(c: Column, least: int | None = None, most: int | None = None) -> Column:
