@@ -45,39 +45,45 @@ class QualityConfig:
 PRESETS: dict[str, QualityConfig] = {}
 
 
-def _grams(w: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+def distinct_grams(w: Column, n: int) -> Column:
+    """The number of different n-grams of at least n words; taken by position, as a slice copies all words."""
+    gram = lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
+    return F.when(F.size(w) >= n, F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), gram)))).otherwise(0)
 
 
-def metrics(c: Column, w: Column) -> dict[str, Column]:
-    """``w`` is the column of words(c), computed once by the caller."""
+def metrics(c: Column, w: Column, triples: Column | None = None) -> dict[str, Column]:
+    """``w`` is the column of words(c), ``triples`` that of distinct_grams(w, 3), computed once by the caller."""
     n, size = F.size(w), F.octet_length(c)
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    distinct = F.size(F.array_distinct(_grams(w, 3))) + F.size(F.array_distinct(_grams(w, 4)))
+    triples = distinct_grams(w, 3) if triples is None else triples
+    distinct = triples + F.when(triples == n - 2, n - 3).otherwise(distinct_grams(w, 4))  # no triple repeats: no four do
     word_bytes = F.aggregate(w, F.lit(0), lambda s, x: s + F.octet_length(x))
+    low = F.lower(c)
+    may = reduce(or_, [low.contains(x) for x in ("www.", ".com", ".org", ".net", ".edu", ".gov")], c.contains("://"))  # the pattern is slow where it finds nothing
     url_bytes = F.aggregate(F.regexp_extract_all(c, F.lit(URL), F.lit(0)), F.lit(0), lambda s, x: s + F.octet_length(x))
-    special = F.char_length(F.regexp_replace(c, rf"(?U)[{ALNUM}\s]", ""))
+    special = F.char_length(F.regexp_replace(c, rf"(?U)[{ALNUM}\s]++", ""))
     return {
         "length": size,
         "word_count": n,
         "unique_word_ratio": ratio(F.size(F.array_distinct(w)), n),
         "repetition_ratio": F.when(n < 5, F.lit(0.0)).otherwise(1 - distinct / (2 * n - 5)),
-        "url_ratio": ratio(url_bytes, size),
+        "url_ratio": F.when(may, ratio(url_bytes, size)).otherwise(F.lit(0.0)),
         "special_char_ratio": ratio(special, size),
         "avg_word_length": ratio(word_bytes, n),
         "has_html": F.coalesce(c.rlike("<[^>]+>") | c.contains("<!DOCTYPE") | c.contains("<html") | c.contains("</html>"), F.lit(False)),
     }
 
 
-def with_metrics(df: DataFrame, field: str, cfg: QualityConfig | None = None) -> DataFrame:
-    """Adds the metrics' columns. A null text counts as empty."""
+def with_metrics(df: DataFrame, field: str, cfg: QualityConfig | None = None, tokens: str | None = None) -> DataFrame:
+    """Adds the metrics' columns. A null text counts as empty. ``tokens`` names a column of its words."""
     cfg = cfg or QualityConfig()
     text = F.coalesce(F.col(field), F.lit(""))
     # a generator keeps the optimizer from copying the tokenizer into every use of the words
-    out = df.withColumn("__t", text).select("*", F.explode(F.array(words(F.col("__t")))).alias("__w"))
-    out = out.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in metrics(F.col("__t"), F.col("__w")).items()]))))
+    out = df.withColumn("__t", text).select("*", F.explode(F.array(F.col(tokens) if tokens else words(F.col("__t")))).alias("__w"))
+    out = out.select("*", F.explode(F.array(distinct_grams(F.col("__w"), 3))).alias("__n3"))
+    out = out.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in metrics(F.col("__t"), F.col("__w"), F.col("__n3")).items()]))))
     bad = F.arrays_overlap(F.col("__w"), F.array(*[F.lit(x) for x in cfg.profanity])) if cfg.filter_profanity and cfg.profanity else F.lit(False)
-    return out.withColumn("has_profanity", F.coalesce(bad, F.lit(False))).drop("__t", "__w")
+    return out.withColumn("has_profanity", F.coalesce(bad, F.lit(False))).drop("__t", "__w", "__n3")
 
 
 def _checks(cfg: QualityConfig) -> list[tuple[str, Column, Column]]:
@@ -120,8 +126,8 @@ def summary(c: Column) -> Column:
     return F.when(F.size(c) == 0, F.lit("Passed all quality checks")).otherwise(F.array_join(c, "; "))
 
 
-def score(df: DataFrame, field: str, cfg: QualityConfig | None = None) -> DataFrame:
-    return with_verdict(with_metrics(df, field, cfg), cfg)
+def score(df: DataFrame, field: str, cfg: QualityConfig | None = None, tokens: str | None = None) -> DataFrame:
+    return with_verdict(with_metrics(df, field, cfg, tokens), cfg)
 
 
 def batch_stats(scored: DataFrame) -> DataFrame:
