@@ -9,19 +9,27 @@ from pyspark.sql import functions as F
 
 from loomsieve.functions import language, quality
 from loomsieve.functions.hashing import record_json
+from loomsieve.functions.text import words
 from loomsieve.operators import exact, fuzzy
 from loomsieve.plans.config import Filters, PipelineConfig
 from loomsieve.sources.readers import read_dataset, with_row_id
 from loomsieve.sources.sinks import write_dataset
 
 
-def judge(df: DataFrame, filters: Filters, field: str = "text", scope: str = "field") -> DataFrame:
-    """Adds the columns of both filters. ``scope="record"`` judges the whole record's JSON."""
+def judge(df: DataFrame, filters: Filters, field: str = "text", scope: str = "field", all_metrics: bool = True) -> DataFrame:
+    """Adds the columns of both filters. ``scope="record"`` judges the whole record's JSON. Without
+    ``all_metrics``, those of quality count only where the language is accepted; elsewhere they are of
+    an empty text."""
     if scope not in ("field", "record"):
         raise ValueError("scope is field or record")
-    subject = F.col(field) if scope == "field" else record_json(df)
-    out = language.with_acceptance(df.withColumn("__subject", subject), "__subject", filters.language)
-    return quality.score(out, "__subject", filters.quality).drop("__subject")
+    subject = F.coalesce(F.col(field) if scope == "field" else record_json(df), F.lit(""))
+    out = df.withColumn("__subject", subject).select("*", F.explode(F.array(words(F.col("__subject")))).alias("__words"))
+    out = language.with_acceptance(out, "__subject", filters.language, "__words")
+    if not all_metrics:
+        # behind a generator, as else the language is detected again in each use
+        out = out.select("*", F.explode(F.array("accepted")).alias("__ok"))
+        out = out.withColumns({"__subject": F.when(F.col("__ok"), F.col("__subject")).otherwise(""), "__words": F.when(F.col("__ok"), F.col("__words")).otherwise(F.array().cast("array<string>"))})
+    return quality.score(out, "__subject", filters.quality, "__words").drop("__subject", "__words", "__ok")
 
 
 def passing() -> Column:
@@ -29,7 +37,7 @@ def passing() -> Column:
 
 
 def filter_records(df: DataFrame, filters: Filters | None = None, field: str = "text", scope: str = "field") -> DataFrame:
-    return judge(df, filters or Filters(), field, scope).where(passing()).select(*df.columns)
+    return judge(df, filters or Filters(), field, scope, all_metrics=False).where(passing()).select(*df.columns)
 
 
 def clean(df: DataFrame, cfg: PipelineConfig, order_col: str = "row_id", fuzzy_cfg: fuzzy.FuzzyConfig | None = None) -> DataFrame:

@@ -448,7 +448,7 @@ def filter_command(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_FILTER_SQL + ", t as (select count(*) total_records, count_if(accepted and len(reasons) = 0) passed from r join ok using (doc_id)) select *, total_records - passed filtered, round((total_records - passed) * 100.0 / total_records, 6) filter_rate, false dry_run from t")
 def filter_report(spark: SparkSession, d: str) -> DataFrame:
-    return report.filter_report(pipeline.judge(spread(table(spark, d, "documents").select("doc_id", "text")), Filters()), pipeline.passing())
+    return report.filter_report(pipeline.judge(spread(table(spark, d, "documents").select("doc_id", "text")), Filters(), all_metrics=False), pipeline.passing())
 
 
 @query(f"""with recursive first as materialized (select * from documents where doc_id in ({first_by(FOLDED)})),

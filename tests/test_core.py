@@ -329,6 +329,44 @@ def test_language(spark):
     assert language.LanguageConfig(("EN", "code", "zh")).allowed() == ["eng", "cmn"]
 
 
+def test_words_are_trimmed_runs_of_non_spaces(spark):
+    a = text.ALNUM
+    data = ["", None, "  ", "!!", "a", " 'tis--don't!! ", "x\u0085y\u2028z", "İ ΑΣ. Σ", "e\u0301 \u0301a", "a!!!b ...c...", "\x1cA\x1c 1²³ ٣", "日本、語。 x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(data)], "i int, t string")
+    old = F.filter(F.transform(F.split("t", r"(?U)\s+"), lambda x: F.lower(F.regexp_replace(x, f"^[^{a}]+|[^{a}]+$", ""))), lambda x: x != "")
+    assert df.where(~old.eqNullSafe(text.words(F.col("t")))).count() == 0
+
+
+def test_quality_of_a_long_text_takes_no_quadratic_time(spark):
+    """A slice for each gram copied all words: 60,000 words took minutes."""
+    import time
+
+    began = time.time()
+    df = spark.range(1).selectExpr("array_join(transform(sequence(1, 60000), i -> concat('w', i % 50000)), ' ') text")
+    got = quality.with_metrics(df, "text").collect()[0]
+    assert got.word_count == 60000 and got.repetition_ratio == 1 - (2 * 50000 + 0) / (2 * 60000 - 5)
+    assert time.time() - began < 20
+
+
+def test_repetition_counts_triples_and_fours(spark):
+    for t in ("a b c d e f", "a b c x a b c y", "a b c d a b c d", "a a a a a a", "a b c d", "a b c d e"):
+        w = t.split()
+        grams = {tuple(w[i : i + n]) for n in (3, 4) for i in range(len(w) - n + 1)}
+        got = quality.with_metrics(spark.createDataFrame([(t,)], "text string"), "text").collect()[0].repetition_ratio
+        assert got == (0 if len(w) < 5 else 1 - len(grams) / (2 * len(w) - 5))
+
+
+def test_filter_detects_words_once_and_counts_alike(spark):
+    spanish = "La casa está en la colina y fue construida por las personas que vivían en el valle."
+    df = rows(spark, [(0, GOOD), (1, "Too short"), (2, spanish), (3, None), (4, GOOD + " see www.example.com/a/b/c/d/e/f/g/h/i/j/k/l/m/n/o/p")], "row_id long, text string")
+    for c in (config.Filters(), config.Filters(quality=quality.QualityConfig.lenient())):
+        every, some = pipeline.judge(df, c), pipeline.judge(df, c, all_metrics=False)
+        assert every.columns == some.columns
+        assert ids(every.where(pipeline.passing())) == ids(some.where(pipeline.passing())) == ids(pipeline.filter_records(df, c))
+    plan = pipeline.filter_records(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") < 4
+
+
 # --- sources, plans, streaming ---
 
 
