@@ -1,10 +1,12 @@
 import gzip
 import json
+import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomsieve.functions import language, quality, text
+from loomsieve.functions import language, minhash, quality, text
 from loomsieve.functions.minhash import candidate_probability, coefficients, text_similarity
 from loomsieve.operators import exact, fuzzy, lsh
 from loomsieve.plans import cli, config, pipeline, report
@@ -155,6 +157,61 @@ def test_similarity(spark):
     assert same == 1.0 and other < 0.3 and birds < 0.5
 
 
+def test_word_shingles_of_many_texts_at_once():
+    def fold(t):
+        h = 0
+        for c in t:
+            h = (h * minhash.FOLD + ord(c)) % minhash.PRIME
+        return h
+
+    texts = ["", None, "a", "a b", "x" * 47 + " y", "x" * 48 + " y z y z", "x" * 49 + " \u00e9\u00e9", "z" * 500 + " q " + "w" * 49, "\u65e5\u672c \u8a9e", "a\tb\nc  d", "\U0001f600 b c"]
+    for n in (1, 2, 3):
+        for t, got in zip(texts, minhash.word_shingles(texts, n)):
+            w = (t or "").split()
+            grams = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [t or ""]
+            assert got.tolist() == sorted({fold(g) for g in grams})
+
+
+def test_signature_minima_are_residues():
+    a, b = coefficients(128)
+    p = minhash.PRIME
+    h = [0, 1, p - 1, p // 2, *range(5, 2000, 7)]
+    want = [min((x * v + y) % p for v in h) for x, y in zip(a.tolist(), b.tolist())]
+    assert minhash.signature_of(np.array(h), a, b).tolist() == want
+    edge = np.array([p - 1, 1, 2]), np.array([p - 1, p - 1, 0])
+    for v in (0, 1, p - 1):
+        assert minhash.signature_of(np.array([v]), *edge).tolist() == [(x * v + y) % p for x, y in zip(*map(np.ndarray.tolist, edge))]
+
+
+def test_signature_of_nulls_and_empty_texts_in_any_slice(spark):
+    data = [(i, None if i % 7 == 0 else "" if i % 11 == 0 else f"word{i} and more") for i in range(300)]
+    df = rows(spark, data, "i int, t string").coalesce(1)
+    got = {r.i: r.s for r in df.select("i", minhash.signature(F.col("t"), 16, 2, True).alias("s")).collect()}
+    alone = {r.i: r.s for r in df.repartition(50).select("i", minhash.signature(F.col("t"), 16, 2, True).alias("s")).collect()}
+    assert got == alone and got[0] is None and got[11] == [0] * 16 and max(got[1]) > 0
+    assert df.where("false").select(minhash.signature(F.col("t"))).count() == 0
+
+
+def test_nfkd_sends_python_only_what_isnt_ascii(spark):
+    data = ["\ufb01ne", "plain", "", None, "e\u0301\u00e9", "\uff21\u00b2"] * 40
+    df = rows(spark, list(enumerate(data)), "i int, t string").coalesce(1)
+    got = [r.n for r in df.select("i", text.nfkd(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == [t and unicodedata.normalize("NFKD", t) for t in data]
+    plan = df.select(text.nfkd(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython [_nfkd(CASE WHEN" in plan or "octet_length" in plan
+
+
+def test_signatures_are_made_once_and_not_shuffled_for_copies(spark):
+    df = spark.range(300).selectExpr("id row_id", "concat_ws(' ', 'words of text', id % 290, id % 290 * 3, 'and so on') text")
+    r = fuzzy.resolve(df, fuzzy.FuzzyConfig(shingle=2, by_word=True))
+    for part in (r.signed, r.reps, r.candidates, fuzzy.dropped_ids(r)):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Python" not in plan and "Aggregate" not in plan
+    assert r.reps.count() == 290 and r.signed.where("rep <> row_id").count() == 10
+    found = fuzzy.FuzzyIndex(fuzzy.FuzzyConfig()).add(df).find(df.limit(3))
+    assert "Python" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_band_mismatch():
     with pytest.raises(ValueError):
         fuzzy.FuzzyConfig(num_hashes=128, bands=10, rows=10)
