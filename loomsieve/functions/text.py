@@ -9,7 +9,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,10 +38,16 @@ def collapse_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def nfkd(texts: pd.Series) -> pd.Series:
-    """Compatibility decomposition; Spark has no built-in for it."""
-    return texts.map(lambda s: unicodedata.normalize("NFKD", s), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _nfkd(texts: pa.Array) -> pa.Array:
+    """A few texts at a time are Python objects."""
+    some = lambda at: [t if t is None else unicodedata.normalize("NFKD", t) for t in texts.slice(at, 64).to_pylist()]
+    return pa.chunked_array([pa.array(some(at), pa.string()) for at in range(0, len(texts), 64)], pa.string()).combine_chunks()
+
+
+def nfkd(c: Column) -> Column:
+    """Compatibility decomposition; Spark has no built-in for it. ASCII stays as it is and in the JVM."""
+    return F.coalesce(_nfkd(F.when(F.char_length(c) < F.octet_length(c), c)), c)
 
 
 @dataclass(frozen=True)
