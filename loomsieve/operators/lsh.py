@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsieve.functions.minhash import similarity
+from loomsieve.session import stored
 
 #: Rows of one band key that a task pairs at most with as many others.
 CHUNK = 2000
 #: Signatures up to this length travel with their bands.
 SHORT = 32
+#: Bands of probes that are broadcast at most, some 40 MB.
+PROBED = 1_000_000
 
 
 def check_bands(num_hashes: int, bands: int, rows: int) -> None:
@@ -160,5 +163,7 @@ def match(probe: DataFrame, index: DataFrame, bands: int, rows: int, threshold:
     """Probe without insertion: every indexed id at or over the threshold, as (i, j, similarity)."""
     p = bands_of(probe.select(F.col(id_col).alias("i"), "sig"), bands, rows)
     q = bands_of(index.select(F.col(id_col).alias("j"), "sig"), bands, rows)
-    pairs = p.join(q, ["band", "band_key"]).select("i", "j").distinct()
+    if probe.count() * bands <= PROBED:
+        p = F.broadcast(p)
+    pairs = stored(p.join(q, ["band", "band_key"]).select("i", "j").distinct(), "pairs")
     return with_similarity(pairs, probe, id_col, index).where(F.col("similarity") >= threshold)
